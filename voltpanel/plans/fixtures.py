@@ -19,14 +19,29 @@ from voltpanel.operators.impute import filled, ratio_impute
 from voltpanel.operators.panel import series_window
 from voltpanel.schemas import WEATHER_TIMELINE
 from voltpanel.sources.feeds import timeline_to_rows
+from voltpanel.sources.tables import read_table
 
 TRAIN_END, VAL_END = "2000-01-01", "2001-01-01"
 TODAY = "2001-08-02"
 REVISED_STATUS = "P"
 
 
+TEST_TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table with its declared schema: no footer is read while a query is built."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", TEST_TABLES[name])
 
 
 def customer_zones(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:

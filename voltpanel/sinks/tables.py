@@ -37,7 +37,7 @@ def write_splits(rows: DataFrame, path: str) -> None:
 
 
 def _with_month(rows: DataFrame, day: str) -> DataFrame:
-    return rows.withColumn(MONTH, F.date_format(day, "yyyy-MM"))
+    return rows.withColumn(MONTH, F.year(day) * 100 + F.month(day))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -62,8 +62,8 @@ def upsert_table(
 
     ``keys`` must include ``day``, so that a key stays in one month.  With ``newest``,
     those columns are stored too and decide between rows of a key, inside the update and
-    against the table.  The touched months are a handful of short strings, which is all
-    that reaches the driver; with them as literals the scan of the stored side opens only
+    against the table.  The touched months are a handful of numbers, which is all that
+    reaches the driver; with them as literals the scan of the stored side opens only
     those folders.
     """
     if day not in keys:
@@ -75,8 +75,7 @@ def upsert_table(
     months = [r[MONTH] for r in monthly.select(MONTH).distinct().collect()]
     if not months:
         return
-    touched = spark.read.parquet(path)
-    touched = touched.withColumn(MONTH, F.col(MONTH).cast("string")).filter(F.col(MONTH).isin(months))
+    touched = spark.read.parquet(path).filter(F.col(MONTH).isin(months))
     merged = merge_newest(touched, monthly, keys, newest) if newest else upsert(touched, monthly, keys)
     staging = scratch_path(spark, "staging")
     merged.write.partitionBy(MONTH).parquet(staging)
