@@ -385,7 +385,7 @@ SELECT zone, count(*) AS n, {r('avg(ape)', 4)} AS mape, {r('quantile_cont(ape, 0
 def _autocorrelation() -> str:
     lines = [
         f"SELECT zone, {k} AS lag, {r(f'sum((a - m) * (b - m)) / any_value(total)')} AS autocorrelation FROM "
-        f"(SELECT x.zone, x.value AS a, y.value AS b, x.m, x.total FROM numbered x JOIN numbered y "
+        f"(SELECT x.zone, x.value AS a, y.value AS b, x.m, x.total FROM numbered x LEFT JOIN numbered y "
         f"ON y.zone = x.zone AND y.i = x.i - {k}) GROUP BY zone"
         for k in (1, 2, 7, 14, 30, 365)
     ]
