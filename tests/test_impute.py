@@ -85,6 +85,12 @@ def test_densify_spans_each_zone_only(make_panel):
     ]
 
 
+def test_repeated_day_raises(make_panel):
+    panel = make_panel({"a": [1, 2, 3]})
+    with pytest.raises(Exception, match="more than one row for a 2020-01-02"):
+        densify(panel.unionByName(panel.filter("value = 2"))).collect()
+
+
 def test_backtest_predicts_every_observed_day_once(spark, gappy):
     panel, parent = to_frames(spark, *gappy)
     got = impute.impute_backtest(panel, parent).first()

@@ -109,24 +109,20 @@ def yoy_smoothed(table: DataFrame, size: int = 7, min_rows: int = 300) -> DataFr
 def weekday_box(table: DataFrame, months: list[int] = SUMMER_MONTHS) -> DataFrame:
     """Box-plot numbers by weekday; whiskers are the extreme values within 1.5 IQR."""
     by = ["zone", "day_name"]
-    season = table.filter(F.month("period").isin(months)).select(*by, "value")
-    quartiles = season.groupBy(*by).agg(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_q"))
+    quartiles = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).over(Window.partitionBy(*by))
+    season = table.filter(F.month("period").isin(months)).select(*by, "value", quartiles.alias("_q"))
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     fence = (q3 - q1) * 1.5
     inside = F.when(F.col("value").between(q1 - fence, q3 + fence), F.col("value"))
-    return (
-        season.join(quartiles, by)
-        .groupBy(*by)
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean_demand"),
-            F.first(q1).alias("q1"),
-            F.first(F.col("_q")[1]).alias("median"),
-            F.first(q3).alias("q3"),
-            F.min(inside).alias("whisker_low"),
-            F.max(inside).alias("whisker_high"),
-            F.sum(F.when(inside.isNull(), 1).otherwise(0)).alias("n_outside"),
-        )
+    return season.groupBy(*by).agg(
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean_demand"),
+        F.first(q1).alias("q1"),
+        F.first(F.col("_q")[1]).alias("median"),
+        F.first(q3).alias("q3"),
+        F.min(inside).alias("whisker_low"),
+        F.max(inside).alias("whisker_high"),
+        F.count_if(inside.isNull()).alias("n_outside"),
     )
 
 

@@ -27,8 +27,12 @@ def _nearest_ratio(dense: DataFrame, by: list[str], nearest: int) -> DataFrame:
     numbered = dense.withColumn("_ratio", F.try_divide(F.col("value"), F.col("parent_value"))).withColumn(
         "_number", F.count("_ratio").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    around = numbered.withColumn("_before", F.collect_list(anchor).over(by_number.rangeBetween(1 - nearest, 0)))
-    around = around.withColumn("_after", F.collect_list(anchor).over(by_number.rangeBetween(1, nearest)))
+    around = numbered.withColumns(
+        {
+            "_before": F.collect_list(anchor).over(by_number.rangeBetween(1 - nearest, 0)),
+            "_after": F.collect_list(anchor).over(by_number.rangeBetween(1, nearest)),
+        }
+    )
 
     def by_distance(a):
         return F.struct(

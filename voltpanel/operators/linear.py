@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voltpanel.functions import cooling_degrees, heating_degrees
 from voltpanel.operators.moments import centred, gram, standardised, unpack
+from voltpanel.session import materialised
 
 N_FOLDS = 5
 # The penalty grid, 50 points from 1e-4 to 1e4 evenly spaced in the exponent.
@@ -140,8 +141,10 @@ def forward_selection(
     additive in moments, so each step makes one pass that scores all candidates of all
     folds at once; its weights travel with the zone, never through the driver.
     """
-    rows = standardised(train, features, ["zone"]).select("zone", "block", target, *features)
-    cells = gram(rows, features + [target], ["zone", "block"]).cache()
+    rows = materialised(
+        standardised(train, features, ["zone"]).select("zone", "block", target, *features), "scaled-rows"
+    )
+    cells = materialised(gram(rows, features + [target], ["zone", "block"]), "moments")
     k = len(features)
     chosen = rows.select("zone").distinct().withColumn("selected", F.expr("cast(array() as array<string>)"))
     fit_schema = "zone string, selected array<string>, candidate string, block int, intercept double, coef array<double>"
@@ -173,7 +176,10 @@ def forward_selection(
         )
         cv = fold_mae.groupBy("zone", "candidate").agg(F.avg("mae").alias("cv_mae"), F.first("selected").alias("selected"))
         best = cv.groupBy("zone").agg(F.min_by(F.struct("candidate", "cv_mae", "selected"), F.struct("cv_mae", "candidate")).alias("_b"))
-        step_result = best.select("zone", F.lit(step).alias("step"), "_b.candidate", "_b.cv_mae", "_b.selected").cache()
+        # Each step builds on the one before: cut the chain or it grows with the steps.
+        step_result = materialised(
+            best.select("zone", F.lit(step).alias("step"), "_b.candidate", "_b.cv_mae", "_b.selected"), "selection-step"
+        )
         results.append(step_result.select("zone", "step", F.col("candidate").alias("feature"), "cv_mae"))
         chosen = step_result.select("zone", F.array_append("selected", F.col("candidate")).alias("selected"))
     return reduce(DataFrame.unionByName, results)

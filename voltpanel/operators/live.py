@@ -14,7 +14,7 @@ from voltpanel.functions import (
     is_weekend,
     mean_temperature,
 )
-from voltpanel.operators.keyed import join_by_day, one_row_per_day
+from voltpanel.operators.keyed import join_by_day
 from voltpanel.schemas import INFERENCE_FEATURES
 
 
@@ -50,15 +50,18 @@ def live_thermal_inertia(observed: DataFrame, forecast: DataFrame) -> DataFrame:
     average clipped days; ``skew`` reports show where the two differ.  Null unless both
     observed days exist.
     """
-    temperature = observed.select("date", mean_temperature(F.col("tempmin"), F.col("tempmax")).alias("tavg"))
-
-    def days_ago(n: int) -> DataFrame:
-        return temperature.select(F.date_add("date", n).alias("target_date"), F.col("tavg").alias(f"_tavg_{n}"))
-
-    joined = forecast.select("target_date", "tavg_fc")
-    for n in (2, 1):
-        joined = joined.join(days_ago(n), "target_date", "left")
-    mean = (F.col("_tavg_2") + F.col("_tavg_1") + F.col("tavg_fc")) / 3
+    temperature = mean_temperature(F.col("tempmin"), F.col("tempmax"))
+    serves = F.explode(F.array(F.lit(1), F.lit(2))).alias("ahead")
+    before = (
+        observed.select("date", temperature.alias("tavg"), serves)
+        .groupBy(F.expr("date_add(date, ahead)").alias("target_date"))
+        .agg(
+            F.max(F.when(F.col("ahead") == 2, F.col("tavg"))).alias("_two_before"),
+            F.max(F.when(F.col("ahead") == 1, F.col("tavg"))).alias("_one_before"),
+        )
+    )
+    joined = forecast.select("target_date", "tavg_fc").join(before, "target_date", "left")
+    mean = (F.col("_two_before") + F.col("_one_before") + F.col("tavg_fc")) / 3
     return joined.select(
         "target_date",
         half_even(mean, 1).alias("tavg_3day_fc"),
@@ -73,7 +76,7 @@ def inference_rows(history: DataFrame, forecast: DataFrame, inertia: DataFrame)
     Both weather blocks are keyed by date, so they are first joined to each other and
     reach the zones as one bounded table.
     """
-    weather = one_row_per_day(forecast, "target_date").join(inertia, "target_date", "left")
+    weather = forecast.join(inertia, "target_date", "left")
     target = F.col("target_date")
     return (
         join_by_day(history, weather, "target_date", on="target_date")

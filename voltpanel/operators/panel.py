@@ -22,10 +22,16 @@ def densify(panel: DataFrame) -> DataFrame:
 
     Each row stretches over the days up to the next one, so the calendar comes out of the
     series itself: no generated calendar, no join back.  Added days have a null value and
-    ``is_missing`` 1.
+    ``is_missing`` 1.  A day that a zone has twice raises: every window after this relies
+    on the key.
     """
     next_day = F.lead("period").over(series_window())
-    last_covered = F.coalesce(F.date_sub(next_day, 1), F.col("period"))
+    repeated = F.raise_error(F.concat_ws(" ", F.lit("more than one row for"), "zone", F.col("period").cast("string")))
+    last_covered = (
+        F.when(next_day > F.col("period"), F.date_sub(next_day, 1))
+        .when(next_day.isNull(), F.col("period"))
+        .otherwise(repeated.cast("date"))
+    )
     stretched = panel.select("zone", "value", "period", F.sequence("period", last_covered).alias("_days"))
     value = F.when(F.col("_day") == F.col("period"), F.col("value"))
     return (

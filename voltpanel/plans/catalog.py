@@ -36,7 +36,7 @@ from voltpanel.schemas import (
     THERMAL_COLUMNS,
     WEATHER_READINGS,
 )
-from voltpanel.session import scratch_path
+from voltpanel.session import materialised, scratch_path
 from voltpanel.sinks.tables import read_monthly_table
 from voltpanel.sources import feeds
 from voltpanel.streaming import ingest
@@ -574,10 +574,8 @@ def base_scan(spark, sf_dir):
 
 def _model_rows(spark, sf_dir) -> DataFrame:
     """Inference feature set with its split, stored once so that fits do not rebuild it."""
-    path = scratch_path(spark, "model-rows")
-    rows = splits.time_split(features.feature_set(fx.modelling(spark, sf_dir), "inference"), fx.TRAIN_END, fx.VAL_END)
-    rows.write.partitionBy("split").parquet(path)
-    return spark.read.parquet(path)
+    rows = features.feature_set(fx.modelling(spark, sf_dir), "inference")
+    return materialised(splits.time_split(rows, fx.TRAIN_END, fx.VAL_END), "model-rows")
 
 
 def _train(rows: DataFrame) -> DataFrame:

@@ -397,6 +397,33 @@ def _autocorrelation() -> str:
     )
 
 
+def _base_scan() -> str:
+    """R squared by orthogonalising the four regressors one after the other."""
+    heating = [f"{{'side': 'heating', 'base': {b}.0::DOUBLE, 'hb': {b}, 'cb': 65}}" for b in (45, 49, 50, 51, 55, 60, 65)]
+    cooling = [f"{{'side': 'cooling', 'base': {b}.0::DOUBLE, 'hb': 50, 'cb': {b}}}" for b in (60, 63, 65, 67, 70)]
+    over = "OVER (PARTITION BY zone, side, base)"
+
+    def without(x: str, parts: list[str]) -> str:
+        return x + "".join(f" - {e} * sum({x} * {e}) {over} / sum({e} * {e}) {over}" for e in parts)
+
+    explained = " + ".join(f"sum(y * {e}) * sum(y * {e}) / sum({e} * {e})" for e in ("e1", "e2", "e3", "e4"))
+    return f"""
+WITH {LIBRARY},
+trials AS (
+  SELECT zone, value, tavg, is_weekend, is_holiday, unnest([{", ".join(heating + cooling)}]) AS t
+  FROM modelling WHERE is_imputed = 0 AND tavg IS NOT NULL),
+regressors AS (
+  SELECT zone, t.side AS side, t.base AS base, greatest(t.hb - tavg, 0) AS x1, greatest(tavg - t.cb, 0) AS x2,
+    is_weekend AS x3, is_holiday AS x4, value AS x5 FROM trials),
+centred AS (
+  SELECT zone, side, base, x1 - avg(x1) {over} AS e1, x2 - avg(x2) {over} AS d2, x3 - avg(x3) {over} AS d3,
+    x4 - avg(x4) {over} AS d4, x5 - avg(x5) {over} AS y FROM regressors),
+two AS (SELECT *, {without('d2', ['e1'])} AS e2 FROM centred),
+three AS (SELECT *, {without('d3', ['e1', 'e2'])} AS e3 FROM two),
+four AS (SELECT *, {without('d4', ['e1', 'e2', 'e3'])} AS e4 FROM three)
+SELECT zone, side, base, {r(f'({explained}) / sum(y * y)')} AS r2 FROM four GROUP BY zone, side, base"""
+
+
 def _constraints() -> str:
     def finding(table: str, constraint: str, query: str) -> str:
         return f"SELECT '{table}' AS table_name, '{constraint}' AS \"constraint\", ({query}) AS violations"
@@ -574,4 +601,5 @@ ORACLES = {name: over_library(body) for name, body in _BODIES.items()} | {
     "autocorrelation": _autocorrelation(),
     "regime_correlation": _regimes(),
     "table_constraints": _constraints(),
+    "base_scan": _base_scan(),
 }
