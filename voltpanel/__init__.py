@@ -4,4 +4,12 @@ Every operator takes and returns a lazy DataFrame keyed by ``(zone, period)``: o
 row per series and calendar day.  Nothing is positional and nothing is collected.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The small matrix helpers that run inside tasks travel with the task, so executors need
+# no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

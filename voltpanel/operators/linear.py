@@ -46,6 +46,23 @@ def _r2(moments: np.ndarray, coef: np.ndarray, intercept: float) -> float:
     return float(1 - residual / total) if n > 1 and total > 0 else float("nan")
 
 
+def _ridge_path(moments: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Models for all penalties from one decomposition: columns ``[-intercept, -coef, 1]``."""
+    means, cross = centred(moments)
+    k = len(means) - 1
+    strength, axes = np.linalg.eigh(cross[:k, :k])
+    rotated = axes.T @ cross[:k, k]
+    coefs = axes @ (rotated[:, None] / (np.maximum(strength, 0)[:, None] + alphas[None, :]))
+    return np.vstack([means[:k] @ coefs - means[k], -coefs, np.ones(len(alphas))])
+
+
+def _r2_path(moments: np.ndarray, path: np.ndarray) -> np.ndarray:
+    n = moments[0, 0]
+    total = moments[-1, -1] - moments[0, -1] ** 2 / n
+    residual = np.einsum("ia,ij,ja->a", path, moments, path)
+    return 1 - residual / total if n > 1 and total > 0 else np.full(path.shape[1], np.nan)
+
+
 def _expanding(blocks: dict[int, np.ndarray], n_folds: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(train, test) moments per fold; a fold a zone has no rows for is left out."""
     folds = []
@@ -81,8 +98,11 @@ def ridge_cv(
         folds = _expanding(blocks, n_folds)
         if fold_scaling:
             folds = [_rescaled(tr, te) for tr, te in folds]
-        scores = [np.nanmean([_r2(te, *_fit(tr, a)) for tr, te in folds]) if folds else np.nan for a in alphas]
-        best = int(np.nanargmax(scores)) if not np.all(np.isnan(scores)) else 0
+        scores = np.full(len(alphas), np.nan)
+        if folds:
+            by_fold = np.array([_r2_path(te, _ridge_path(tr, alphas)) for tr, te in folds])
+            scores = by_fold[~np.isnan(by_fold).any(axis=1)].mean(axis=0) if not np.isnan(by_fold).all() else scores
+        best = 0 if np.isnan(scores).all() else int(np.nanargmax(scores))
         coef, intercept = _fit(np.sum(list(blocks.values()), axis=0), alphas[best])
         return pd.DataFrame(
             {

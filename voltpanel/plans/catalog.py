@@ -598,7 +598,7 @@ def standardize(spark, sf_dir):
 def ridge_cv(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     train, val = _train(rows), rows.filter(F.col("split") == "val")
-    models = linear.ridge_cv(train, INFERENCE_FEATURES)
+    models = materialised(linear.ridge_cv(train, INFERENCE_FEATURES), "ridge-models")
     predicted = linear.ridge_predict(val, models, INFERENCE_FEATURES, rows.filter(F.col("split") == "train"))
     metrics = scoring.offline_metrics(predicted.withColumnRenamed("target", "actual"), ["zone"])
     return publish(models.select("zone", "n_rows", "alpha", "r2").join(metrics, "zone"))
