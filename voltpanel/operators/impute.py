@@ -23,28 +23,41 @@ def _nearest_ratio(dense: DataFrame, by: list[str], nearest: int) -> DataFrame:
     """
     in_order = Window.partitionBy(*by).orderBy(F.unix_date("period"))
     by_number = Window.partitionBy(*by).orderBy("_number")
-    anchor = F.when(F.col("_ratio").isNotNull(), F.struct(F.col("period").alias("day"), F.col("_ratio").alias("ratio")))
-    numbered = dense.withColumn("_ratio", F.try_divide(F.col("value"), F.col("parent_value"))).withColumn(
-        "_number", F.count("_ratio").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    before, after = by_number.rangeBetween(1 - nearest, 0), by_number.rangeBetween(1, nearest)
+    anchor_day = F.when(F.col("_ratio").isNotNull(), F.unix_date("period"))
+    around = (
+        dense.withColumn("_ratio", F.try_divide(F.col("value"), F.col("parent_value")))
+        .withColumn("_number", F.count("_ratio").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumns(
+            {
+                "_days_before": F.collect_list(anchor_day).over(before),
+                "_before": F.collect_list("_ratio").over(before),
+                "_days_after": F.collect_list(anchor_day).over(after),
+                "_after": F.collect_list("_ratio").over(after),
+            }
+        )
     )
-    around = numbered.withColumns(
-        {
-            "_before": F.collect_list(anchor).over(by_number.rangeBetween(1 - nearest, 0)),
-            "_after": F.collect_list(anchor).over(by_number.rangeBetween(1, nearest)),
-        }
+    # Both lists run in date order, so the nearest days are a tail of one and a head of the
+    # other.  The j-th day back is among them unless the list ahead fills the rest with days
+    # that are strictly closer; a tie therefore goes to the earlier day.
+    today, n_before, n_after = F.unix_date("period"), F.size("_before"), F.size("_after")
+
+    def belongs(back):
+        rival = F.get("_days_after", F.lit(nearest) - back)
+        return rival.isNull() | (rival - today >= today - F.get("_days_before", n_before - back))
+
+    backs = F.when(n_before > 0, F.sequence(F.lit(1), n_before)).otherwise(F.array().cast("array<int>"))
+    taken_back = F.size(F.filter(backs, belongs))
+    used = F.least(F.lit(nearest), n_before + n_after)
+    chosen = F.concat(
+        F.slice("_before", n_before - F.col("_back") + 1, F.col("_back")), F.slice("_after", F.lit(1), used - F.col("_back"))
     )
-
-    def by_distance(a):
-        return F.struct(
-            F.abs(F.datediff(a["day"], F.col("period"))).alias("gap"), a["day"].alias("day"), a["ratio"].alias("ratio")
-        )
-
-    closest = F.slice(F.array_sort(F.transform(F.concat("_before", "_after"), by_distance)), 1, nearest)
-    total = F.aggregate("_closest", F.lit(0.0), lambda acc, a: acc + a["ratio"])
+    total = F.aggregate(chosen, F.lit(0.0), lambda acc, ratio: acc + ratio)
+    is_gap = F.col("value").isNull()
     return (
-        around.withColumn("_closest", F.when(F.col("value").isNull(), closest))
-        .withColumn("local_ratio", F.try_divide(total, F.size("_closest")))
-        .drop("_ratio", "_number", "_before", "_after", "_closest")
+        around.withColumn("_back", F.when(is_gap, taken_back))
+        .withColumn("local_ratio", F.when(is_gap, F.try_divide(total, used)))
+        .drop("_ratio", "_number", "_days_before", "_before", "_days_after", "_after", "_back")
     )
 
 
