@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# US federal holidays as month * 100 + day, and as (month, first day,
-# last day, weekday) for those that fall on a weekday within a week of the month.
+# US federal holidays as month * 100 + day, and as month, which weekday of
+# the month, and the weekday.  Memorial Day is the last Monday of May.
 FIXED_HOLIDAYS = [101, 704, 1111, 1225]
 JUNETEENTH, JUNETEENTH_FROM = 619, 2021
-FLOATING_HOLIDAYS = [
-    (1, 15, 21, 0),
-    (2, 15, 21, 0),
-    (5, 25, 31, 0),
-    (9, 1, 7, 0),
-    (10, 8, 14, 0),
-    (11, 22, 28, 3),
-]
+FLOATING_HOLIDAYS = [(1, 3, 0), (2, 3, 0), (9, 1, 0), (10, 2, 0), (11, 4, 3)]
+MEMORIAL_MONTH, MEMORIAL_FROM = 5, 25
 
 
 def day_of_week(day: Column) -> Column:
@@ -45,15 +37,11 @@ def is_federal_holiday(day: Column) -> Column:
     31 December), one on Sunday on the Monday after.  Being a predicate on the date
     itself, it needs no holiday table and no join.
     """
-    weekday = F.weekday(day)
-    floating = reduce(
-        lambda a, b: a | b,
-        [
-            (F.month(day) == month) & F.dayofmonth(day).between(first, last) & (weekday == wd)
-            for month, first, last, wd in FLOATING_HOLIDAYS
-        ],
-    )
+    month, of_month, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
+    occurrence = F.ceil(of_month / 7)
+    floating = (month * 100 + occurrence * 10 + weekday).isin([m * 100 + n * 10 + wd for m, n, wd in FLOATING_HOLIDAYS])
+    memorial = (month == MEMORIAL_MONTH) & (of_month >= MEMORIAL_FROM) & (weekday == 0)
     observed = ((weekday == 4) & _on_fixed_date(F.date_add(day, 1))) | (
         (weekday == 0) & _on_fixed_date(F.date_sub(day, 1))
     )
-    return (_on_fixed_date(day) | floating | observed).cast("int")
+    return (_on_fixed_date(day) | floating | memorial | observed).cast("int")

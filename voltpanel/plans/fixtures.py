@@ -2,8 +2,8 @@
 
 The test tables hold no electricity or weather, so demand is order value per region (or
 nation) and day, and weather is a seasonal curve moved by the day's line items.  Sums run
-over decimals and curve values are floored to 0.1, so that any engine derives the same
-numbers bit for bit.
+over whole hundredths and curve values are floored to 0.1, so that any engine derives the
+same numbers bit for bit.
 """
 
 from __future__ import annotations
@@ -56,19 +56,25 @@ def customer_zones(spark: SparkSession, sf_dir: str, grain: str = "region") -> D
 
 
 def order_rows(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """``zone, period, status, amount`` per order."""
+    """``zone, period, status, cents`` per order."""
     orders = table(spark, sf_dir, "orders")
     zones = customer_zones(spark, sf_dir, grain)
     return orders.join(zones, orders.o_custkey == zones.c_custkey).select(
         "zone",
         F.to_date("o_orderdate").alias("period"),
         F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        _hundredths(F.col("o_totalprice")).alias("cents"),
     )
 
 
+def _hundredths(x: Column) -> Column:
+    """Two-decimal amounts as whole hundredths: exact sums in any order, without decimals."""
+    return F.rint(x * 100).cast("bigint")
+
+
 def daily_sum(rows: DataFrame, by: tuple[str, ...] = ("zone", "period")) -> DataFrame:
-    return rows.groupBy(*by).agg(F.round(F.sum("amount")).cast("bigint").alias("value"))
+    """Sums rounded half up to whole units."""
+    return rows.groupBy(*by).agg(F.expr("(sum(cents) + 50) div 100").alias("value"))
 
 
 def demand_raw(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
@@ -106,7 +112,7 @@ def day_weather(spark: SparkSession, sf_dir: str, line_status: str | None = None
         lines = lines.filter(F.col("l_linestatus") == line_status)
 
     def mean(c: str) -> Column:
-        return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)
+        return F.sum(_hundredths(F.col(c))) / 100.0 / F.count(c)
 
     means = lines.groupBy("date").agg(
         mean("l_quantity").alias("q"), mean("l_discount").alias("d"), mean("l_tax").alias("t")
