@@ -11,7 +11,7 @@ AUG = lambda d: dt.date(2026, 8, d)
 
 def test_imputed_actuals_are_not_scored(spark):
     joined = spark.createDataFrame(
-        [(AUG(15), 100.0, 90.0, "lgbm_v1", False), (AUG(16), 120.0, 100.0, "lgbm_v1", True)], JOINED
+        [(AUG(15), 100.0, 90.0, "model_v1", False), (AUG(16), 120.0, 100.0, "model_v1", True)], JOINED
     )
     (row,) = scoring.score_rows(joined).collect()
     assert row.target_date == AUG(15)
