@@ -33,7 +33,7 @@ from voltpanel.session import materialised
 
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Search effort: steps of the branch and bound, fillings kept per step, tries per filling search.
-STEPS, FILLINGS, TRIES = 40_000, 4, 400
+STEPS, FILLINGS, TRIES = 3_000, 4, 400
 #: Pieces that one task ranks at a time.
 RANK_GROUP = 50_000
 
@@ -111,10 +111,26 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[tupl
     return sorted((w, p) for p, w in found.items())[:FILLINGS] or [(room, ())]
 
 
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: items over half a sequence stand alone, and what is longer than the
+    room they leave needs sequences of its own (the L2 bound over all thresholds)."""
+    lengths = np.array(sorted(counts), np.int64)
+    number = np.array([counts[n] for n in lengths.tolist()], np.int64)
+    total = int((lengths * number).sum())
+    best = -(-total // capacity)
+    for k in lengths[lengths * 2 <= capacity].tolist() + [0]:
+        alone, over = lengths > capacity - k, (lengths * 2 > capacity) & (lengths <= capacity - k)
+        small = (lengths >= k) & (lengths * 2 <= capacity)
+        room = int((number[over] * (capacity - lengths[over])).sum())
+        rest = int((number[small] * lengths[small]).sum()) - room
+        best = max(best, int(number[alone].sum() + number[over].sum()) + max(0, -(-rest // capacity)))
+    return best
+
+
 def complete(counts: dict[int, int], capacity: int, incumbent: int, steps: int = STEPS) -> list[tuple[Pattern, int]] | None:
     """Branch and bound over completions; a packing of fewer than ``incumbent`` sequences or None."""
     total = sum(n * c for n, c in counts.items())
-    bound = math.ceil(total / capacity)
+    bound = least_sequences(counts, capacity)
     best, best_size = None, incumbent
     path: list[tuple[Pattern, int]] = []
     # One frame per step: the untried choices, and what the chosen one took.
@@ -158,10 +174,11 @@ def complete(counts: dict[int, int], capacity: int, incumbent: int, steps: int =
         waste, pattern = choices.pop()
         times = min(counts[length] // k for length, k in pattern)
         # The waste bound: an improvement may waste this much in all.
-        if wasted + waste * times > (best_size - 1) * capacity - total:
-            times = ((best_size - 1) * capacity - total - wasted) // waste
-            if times < 1:
-                continue
+        allowed = (best_size - 1) * capacity - total - wasted
+        if waste * times > allowed:
+            times = allowed // waste if waste and allowed > 0 else 0
+        if allowed < 0 or times < 1:
+            continue
         change(pattern, times, 1)
         path.append((pattern, times))
         size, wasted, frames[-1][1] = size + times, wasted + waste * times, (pattern, times, waste)
@@ -182,7 +199,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, steps: int =
         return []
     packing = best_fit(counts, capacity)
     size = sum(times for _, times in packing)
-    if size > math.ceil(sum(n * c for n, c in counts.items()) / capacity):
+    if size > least_sequences(counts, capacity):
         packing = complete(counts, capacity, size, steps) or packing
     return packing
 

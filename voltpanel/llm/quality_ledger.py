@@ -115,8 +115,10 @@ def with_ledger(docs: DataFrame, into: str) -> DataFrame:
     frame = frame.withColumn(into, F.struct(*[c.alias(n) for n, c in measures.items()]))
     named = lambda rule: F.expr(_qualified(rule, into))
     bits = sum((F.when(named(rule), F.lit(1 << r)).otherwise(F.lit(0)) for r, rule in enumerate(RULES.values())), F.lit(0))
-    frame = frame.withColumn(into, F.struct(f"{into}.*", bits.cast("long").alias("failure_bits")))
-    return frame.drop(words, lines, keys, alike, starts)
+    whole = F.struct(f"{into}.*", bits.cast("long").alias("failure_bits"))
+    # One row in, one row out: the generator keeps filters on the ledger above it. Pushed below,
+    # they would write the whole evaluation out again for every rule.
+    return frame.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(whole)).alias(into))
 
 
 def _qualified(rule: str, into: str) -> str:
