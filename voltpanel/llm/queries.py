@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from voltpanel.llm import (
     decontaminate,
+    html_density,
+    lang_backoff,
     packing,
     quality_ledger,
     secret_ledger,
     simhash_gray,
     token_arrow,
     token_counts,
+    toxicity_gru,
 )
 from voltpanel.llm.common import table
 
@@ -122,11 +125,22 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)"""
 
 
+@query
+def op4_main_text(spark, sf_dir):
+    return html_density.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_token_files(spark, sf_dir):
     return token_arrow.token_files(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lang_backoff.predict(docs, lang_backoff.fit(docs))
+
+
 @query
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -140,3 +154,9 @@ def op8_token_counts(spark, sf_dir):
 @query
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash_gray.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_gru.score(docs, toxicity_gru.fit(docs, table(spark, sf_dir, "labels")))
