@@ -35,7 +35,7 @@ TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Search effort: steps of the branch and bound, fillings kept per step, tries per filling search.
 STEPS, FILLINGS, TRIES = 3_000, 4, 400
 #: Pieces that one task ranks at a time.
-RANK_GROUP = 50_000
+RANK_GROUP = 5_000
 
 Pattern = tuple[tuple[int, int], ...]
 
