@@ -51,10 +51,10 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def char_buckets(word: str) -> np.ndarray:
+def char_buckets(word: str) -> list[int]:
     padded = f"<{word}>"
-    parts = {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))}
-    return np.array(sorted(zlib.crc32(p.encode("utf-8")) % BUCKETS for p in parts))
+    parts = (padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1)))
+    return [zlib.crc32(p.encode("utf-8")) % BUCKETS for p in parts]
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -91,14 +91,18 @@ class Network:
         self.scale, self.shift, self.base = 1.0, 0.0, 0.0
         self.trained = False
 
-    def inputs(self, word: str) -> np.ndarray:
-        p = self.p
-        return np.concatenate([p["word"][self.index.get(word, 0)], p["char"][char_buckets(word)].mean(axis=0)])
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every word vector's (with the biases) and every n-gram vector's share of all gates."""
+        p, both = self.p, np.concatenate([self.p["wf"], self.p["wb"]], axis=1)
+        return p["word"] @ both[:WORD_DIM] + np.concatenate([p["bf"], p["bb"]]), p["char"] @ both[WORD_DIM:]
 
-    def projected(self, word: str) -> bytes:
-        """A word's share of all gates in both directions: what scoring needs of it."""
-        x, p = self.inputs(word), self.p
-        return np.concatenate([x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]]).astype(np.float32).tobytes()
+    def projected(self, words_: list[str], gates: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The words' shares of all gates in both directions: what scoring needs of them."""
+        buckets = [char_buckets(w) for w in words_]
+        sizes = np.array([len(b) for b in buckets])
+        flat = np.array([x for b in buckets for x in b])
+        chars = np.add.reduceat(gates[1][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+        return gates[0][[self.index.get(w, 0) for w in words_]] + chars
 
     @staticmethod
     def _gru(x: np.ndarray, u: np.ndarray, mask: np.ndarray, keep: bool):
@@ -230,14 +234,29 @@ class Scorer:
     """A network with a bounded cache of projected words."""
 
     def __init__(self, network: Network):
-        self.network, self.cache = network, PieceCache(network.projected)
+        self.network, self.gates, self.cache = network, network.gates(), PieceCache(None)
+
+    def learn(self, seen: set) -> None:
+        """Project the words that the cache lacks, all at once."""
+        self.cache = self.cache.turned(CACHE_WORDS)
+        cache, older, missing = self.cache, self.cache.older, []
+        for w in seen:
+            if w not in cache:
+                known = older.get(w)
+                if known is None:
+                    missing.append(w)
+                else:
+                    cache[w] = known
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            cache.update(zip(part, map(np.ndarray.tobytes, self.network.projected(part, self.gates))))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The greatest window logit of every text; LOWEST without words."""
         out = np.full(len(texts), LOWEST)
-        self.cache = self.cache.turned(CACHE_WORDS)
-        get, width, h = self.cache.__getitem__, 6 * HIDDEN, 3 * HIDDEN
         tokens = [words(t) for t in texts]
+        self.learn(set().union(*tokens))
+        get, width, h = self.cache.__getitem__, 6 * HIDDEN, 3 * HIDDEN
         packed = b"".join(get(w) for x in tokens for w in x)
         if not packed:
             return out
