@@ -121,3 +121,22 @@ def test_constraints(spark, make_panel):
     twice = panel.unionByName(panel.limit(1))
     assert validate.key_violations(twice, ["zone", "period"], "t").first().violations == 1
     assert validate.reference_violations(panel, panel.filter("value = 1"), ["zone", "period"], "t").first().violations == 1
+
+
+def test_upsert_refuses_a_repeated_key(spark):
+    table = spark.createDataFrame([("a", 1)], "k string, v int")
+    twice = spark.createDataFrame([("a", 2), ("a", 3)], "k string, v int")
+    with pytest.raises(Exception, match="more than one update"):
+        keyed.upsert(table, twice, ["k"]).collect()
+    assert [tuple(r) for r in keyed.upsert(table, twice, ["k"], newest=["v"]).collect()] == [("a", 3)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from voltpanel.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)

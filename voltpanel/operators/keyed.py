@@ -10,10 +10,11 @@ def keep_newest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFram
     """One row per key: the one with the greatest ``newest`` columns.
 
     An aggregate, not a ranking window: each task first reduces its own rows to one per
-    key, so a key that holds a third of the input never lands whole in one task.
+    key, so a key that holds a third of the input never lands whole in one task.  Equal
+    ``newest`` are told apart by the other columns, so replays give the same row.
     """
     payload = [c for c in rows.columns if c not in keys]
-    winner = F.max_by(F.struct(*payload), F.struct(*newest)).alias("_winner")
+    winner = F.max_by(F.struct(*payload), F.struct(*newest, F.struct(*payload))).alias("_winner")
     return rows.groupBy(*keys).agg(winner).select(*keys, "_winner.*").select(*rows.columns)
 
 
@@ -26,14 +27,24 @@ def merge_sources(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return keep_newest(union, keys, ["_source_rank"]).drop("_source_rank")
 
 
+def single_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, with the key enforced: a repeated key raises when the rows are computed."""
+    payload = [c for c in rows.columns if c not in keys]
+    held = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
+        F.raise_error(F.concat(F.lit("more than one update for key "), F.to_json(F.struct(*keys))))
+    )
+    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*payload)).alias("_row"))
+    return grouped.select(*keys, held.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def upsert(table: DataFrame, updates: DataFrame, keys: list[str], newest: list[str] | None = None) -> DataFrame:
-    """Insert-or-overwrite by key.  ``newest`` orders repeated keys inside ``updates``.
+    """Insert-or-overwrite by key.  ``newest`` orders repeated keys inside ``updates``; without
+    it a repeated key raises, because nothing says which of its rows should win.
 
     The stored side is only filtered by an anti join on the keys, so when the update is
     small the planner can keep the stored side where it is and ship just the keys.
     """
-    if newest:
-        updates = keep_newest(updates, keys, newest)
+    updates = keep_newest(updates, keys, newest) if newest else single_rows(updates, keys)
     kept = table.join(updates.select(*keys), keys, "left_anti")
     return kept.unionByName(updates.select(*table.columns)).select(*table.columns)
 

@@ -148,10 +148,6 @@ def coefficient_importance(models: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _weights(chosen: list[str], features: list[str], coef: np.ndarray) -> list[float]:
-    return [float(coef[features.index(c)]) if c in chosen else 0.0 for c in features]
-
-
 def forward_selection(
     train: DataFrame, features: list[str], target: str = "target", steps: int = 3, n_folds: int = N_FOLDS
 ) -> DataFrame:
@@ -264,8 +260,3 @@ def base_scan(
         return pd.DataFrame(out, columns=["zone", "side", "base", "r2"])
 
     return cells.groupBy("zone").applyInPandas(solve, "zone string, side string, base double, r2 double")
-
-
-def fitted_line(rows: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Slope and intercept of a one-variable least-squares line per zone."""
-    return rows.groupBy("zone").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -28,15 +28,26 @@ def build_session(app_name: str = "voltpanel", cores: str = "*", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster sets it.
 
-    Only where it is unset (tests, a laptop) does a fresh local folder stand in.
+    Only where it is unset and everything runs on this machine (tests, a laptop) does a
+    fresh local folder stand in; on a cluster an unset folder is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    """The checkpoint folder of the context, where a session has one."""
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except (AttributeError, NotImplementedError):  # a client session without a context
+        return None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

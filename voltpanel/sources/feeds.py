@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voltpanel.functions import hours_from_seconds
 from voltpanel.schemas import ARCHIVE_ARRAYS, DEMAND_FEED_PAGE, STATION_CSV, WEATHER_TIMELINE
+from voltpanel.sources.tables import by_name, read_header_csv
 
 # Payload column names and the names used in the tables.
 ARCHIVE_NAMES = {
@@ -19,14 +20,13 @@ ARCHIVE_NAMES = {
 }
 TIMELINE_NAMES = {
     "datetime": "date",
-    "precip": "precip",
     "sunriseEpoch": "sunrise",
     "sunsetEpoch": "sunset",
 }
 
 
 def read_demand_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DEMAND_FEED_PAGE).json(path)
+    return spark.read.schema(DEMAND_FEED_PAGE).option("mode", "FAILFAST").json(path)
 
 
 def demand_pages_to_rows(pages: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def demand_rows(records: DataFrame, timezone: str = "Eastern", series_type: str
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARCHIVE_ARRAYS).option("multiLine", True).json(path)
+    return spark.read.schema(ARCHIVE_ARRAYS).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def archive_to_rows(payload: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def archive_to_rows(payload: DataFrame) -> DataFrame:
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WEATHER_TIMELINE).option("multiLine", True).json(path)
+    return spark.read.schema(WEATHER_TIMELINE).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def timeline_to_rows(payload: DataFrame) -> DataFrame:
@@ -103,7 +103,8 @@ def timeline_to_rows(payload: DataFrame) -> DataFrame:
 
 
 def read_station_csv(spark: SparkSession, path: str, schema=STATION_CSV) -> DataFrame:
-    return normalise_header(spark.read.schema(schema).option("header", True).csv(path))
+    """Station weather by the names of the file's header, lower-cased."""
+    return normalise_header(by_name(read_header_csv(spark, path), schema))
 
 
 def normalise_header(rows: DataFrame) -> DataFrame:
