@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as driver
 
 duckdb = pytest.importorskip("duckdb")
-TABLES = "region nation customer orders lineitem events".split()
+TABLES = "region nation customer orders lineitem events documents".split()
 DEFAULT = """
     src_paged_json src_struct_of_arrays src_array_of_structs merge_sources_keep_newest upsert_prediction upsert_score
     impute_ratio impute_unfillable modelling_table live_demand_features inference_row featureset_all
