@@ -23,6 +23,14 @@ def test_federal_holidays_2019_to_2026(spark):
     assert D(2020, 6, 19) not in got and D(2022, 1, 3) not in got
 
 
+def test_monday_holidays_count_from_their_first_year(spark):
+    flagged = days(spark, "1970-01-01", "1986-12-31").filter(is_federal_holiday(F.col("period")) == 1)
+    got = {r.period for r in flagged.collect()}
+    D = dt.date
+    assert {D(1986, 1, 20), D(1971, 2, 15), D(1971, 5, 31), D(1971, 10, 11), D(1970, 9, 7)} <= got
+    assert not {D(1985, 1, 21), D(1970, 2, 16), D(1970, 5, 25), D(1970, 10, 12)} & got
+
+
 def test_half_even(spark):
     row = spark.sql("select 0.25d a, 126.05d b, 2.5d c, -0.75d d, cast(null as double) e").select(
         half_even(F.col("a"), 1), half_even(F.col("b"), 1), half_even(F.col("c")), half_even(F.col("d"), 1), half_even(F.col("e"), 1)
@@ -48,11 +56,18 @@ def test_three_day_means_need_three_days_and_round_last(spark):
     assert got[2].cdd_3day == 6.7 and got[2].tavg_lag1 == 65.0
 
 
-def test_lags_by_rows_equal_lags_by_date_on_dense_series(spark, make_panel):
-    panel = densify(make_panel({"a": [i * i for i in range(400)], "b": list(range(380))}))
-    by_rows = features.demand_lags(panel).select("zone", F.date_add("period", 1).alias("target_date"), *[f"lag_{n}" for n in LAGS])
-    by_date = features.live_demand_features(panel).select(by_rows.columns)
-    assert by_rows.exceptAll(by_date).count() == 0 and by_date.exceptAll(by_rows).count() == 0
+@pytest.mark.parametrize("keep", [lambda i: True, lambda i: i % 11 != 3 and not 200 <= i < 215])
+def test_training_lags_equal_serving_lags_with_and_without_holes(spark, make_panel, keep):
+    panel = make_panel({"a": [i * i if keep(i) else None for i in range(400)], "b": [i if keep(i) else None for i in range(380)]})
+    trained = features.demand_lags(panel).select("zone", F.date_add("period", 1).alias("target_date"), *[f"lag_{n}" for n in LAGS])
+    served = features.live_demand_features(panel).select(trained.columns)
+    assert trained.exceptAll(served).count() == 0 and served.exceptAll(trained).count() == 0
+
+
+def test_target_and_rolling_stop_at_a_hole(make_panel):
+    got = features.history_features(make_panel({"a": [1, 2, None, *range(4, 13)]})).orderBy("period").collect()
+    assert [r.target for r in got] == [2, None, *range(5, 13), None]
+    assert [r.rolling_7 for r in got] == [None] * 9 + [7.0, 8.0][:len(got) - 9]
 
 
 def test_date_lag_is_null_across_a_hole(make_panel):
@@ -76,9 +91,11 @@ def test_next_day_columns_do_not_jump_holes(spark, make_panel):
 def test_audit_passes_own_features_and_catches_a_shift(spark, make_panel):
     panel = make_panel({"a": list(range(40))}).withColumns({"tavg": F.col("value") * 1.5, "is_holiday": (F.col("value") % 7 == 0).cast("int")})
     table = features.next_day_features(features.next_day_target(panel), ["tavg"], ["is_holiday"]).dropna()
-    validate.require_aligned(table)
+    validate.require_aligned(table, panel)
     with pytest.raises(ValueError, match="not aligned"):
-        validate.require_aligned(table.withColumn("target", F.col("value")))
+        validate.require_aligned(table.withColumn("target", F.col("value")), panel)
+    with pytest.raises(ValueError, match="'absent_targets': 1"):
+        validate.require_aligned(table, panel.filter("value <> 20"))
 
 
 def test_feature_lists():

@@ -185,9 +185,11 @@ def test_grids():
 
 def test_search_beats_the_mean_and_repeats(train):
     points = [{"numTrees": n, "maxDepth": d} for n, d in itertools.product([3], [1, 5])]
-    first = trees.search(train, FEATURES, "forest", points, n_folds=2)
-    assert first == trees.search(train, FEATURES, "forest", points, n_folds=2)
-    assert first[0]["params"]["maxDepth"] == 5
+    first = trees.search(train, FEATURES, "forest", points)
+    assert first == trees.search(train, FEATURES, "forest", points)
+    assert first[0]["params"]["maxDepth"] == 5 and all(r["folds_used"] == 5 for r in first)
+    with pytest.raises(ValueError, match="cut for 5 folds"):
+        trees.search(train, FEATURES, "forest", points, n_folds=2)
     spread = train.agg(F.mean(F.abs(F.col("target") - F.lit(-190.0)))).first()[0]
     assert first[0]["cv_mae"] < spread
 

@@ -27,10 +27,14 @@ def test_nothing_to_score_keeps_the_columns(spark):
     assert scores.count() == 0
 
 
-def test_zero_actual_has_no_percentage(spark):
-    joined = spark.createDataFrame([(AUG(1), 5.0, 0.0, "m", False)], JOINED)
-    row = scoring.score_rows(joined).first()
-    assert row.error == 5.0 and row.pct_error is None
+def test_zero_actual_has_an_infinite_percentage(spark):
+    joined = spark.createDataFrame([(AUG(1), -5.0, 0.0, "m", False), (AUG(2), 11.0, 10.0, "m", False)], JOINED)
+    scores = scoring.score_rows(joined)
+    row = scores.orderBy("target_date").first()
+    assert row.error == -5.0 and row.pct_error == -math.inf and row.abs_pct_error == math.inf
+    assert scoring.score_summary(scores).first().mape == math.inf
+    offline = joined.withColumnsRenamed({"predicted_demand": "predicted", "actual_demand": "actual"})
+    assert scoring.offline_metrics(offline, ["model_version"]).first().mape == math.inf
 
 
 def test_missing_columns_are_listed_sorted(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ FIXED_HOLIDAYS = [101, 704, 1111, 1225]
 JUNETEENTH, JUNETEENTH_FROM = 619, 2021
 FLOATING_HOLIDAYS = [(1, 3, 0), (2, 3, 0), (9, 1, 0), (10, 2, 0), (11, 4, 3)]
 MEMORIAL_MONTH, MEMORIAL_FROM = 5, 25
+# Month and first year of the Monday holidays that were introduced later.
+FIRST_YEARS = {1: 1986, 2: 1971, 5: 1971, 10: 1971}
 
 
 def day_of_week(day: Column) -> Column:
@@ -34,8 +39,9 @@ def is_federal_holiday(day: Column) -> Column:
     """1 on a US federal holiday or on the weekday it is observed.
 
     A fixed-date holiday on Saturday is observed on the Friday before it (which may be
-    31 December), one on Sunday on the Monday after.  Being a predicate on the date
-    itself, it needs no holiday table and no join.
+    31 December), one on Sunday on the Monday after.  A Monday holiday counts from its
+    first year on.  Being a predicate on the date itself, it needs no holiday table and
+    no join.
     """
     month, of_month, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
     occurrence = F.ceil(of_month / 7)
@@ -44,4 +50,5 @@ def is_federal_holiday(day: Column) -> Column:
     observed = ((weekday == 4) & _on_fixed_date(F.date_add(day, 1))) | (
         (weekday == 0) & _on_fixed_date(F.date_sub(day, 1))
     )
-    return (_on_fixed_date(day) | floating | memorial | observed).cast("int")
+    too_early = reduce(or_, [(month == m) & (F.year(day) < first) for m, first in FIRST_YEARS.items()])
+    return (_on_fixed_date(day) | ((floating | memorial) & ~too_early) | observed).cast("int")

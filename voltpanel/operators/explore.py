@@ -86,10 +86,11 @@ def temperature_bins(table: DataFrame, width: int = 5, top: int = 100) -> DataFr
     )
 
 
-def yoy_overlay(table: DataFrame, years: list[int]) -> DataFrame:
-    """Day-of-year rows, one column per year.  Naming the years spares a distinct pass."""
-    by_year = table.select("zone", F.dayofyear("period").alias("doy"), F.year("period").alias("year"), "value")
-    return by_year.groupBy("zone", "doy").pivot("year", years).agg(F.max("value"))
+def yoy_overlay(table: DataFrame) -> DataFrame:
+    """Day-of-year rows, one column ``y<year>`` for every year that the table holds."""
+    year = F.concat(F.lit("y"), F.year("period")).alias("year")
+    by_year = table.select("zone", F.dayofyear("period").alias("doy"), year, "value")
+    return by_year.groupBy("zone", "doy").pivot("year").agg(F.max("value"))
 
 
 def yoy_smoothed(table: DataFrame, size: int = 7, min_rows: int = 300) -> DataFrame:
@@ -194,7 +195,7 @@ def regime_profile(table: DataFrame, features: tuple[str, ...] = ("cdd", "hdd"))
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("mean_demand"),
         F.stddev_samp("value").alias("sd_demand"),
-        *[F.size(F.collect_set(c)).alias(f"{c}_distinct") for c in features],
+        *[F.count_distinct(c).alias(f"{c}_distinct") for c in features],
         *[F.stddev_samp(c).alias(f"{c}_sd") for c in features],
     )
     share = F.col("n") / F.sum("n").over(Window.partitionBy("zone"))

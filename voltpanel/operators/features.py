@@ -55,18 +55,17 @@ def degree_days(rows: DataFrame) -> DataFrame:
 
 
 def thermal_inertia(rows: DataFrame) -> DataFrame:
-    """Three-day means (full window only) and yesterday's temperature.
+    """Three-day means (full window only) and yesterday's temperature, all by date.
 
     Means run over the unrounded columns; all seven thermal columns are rounded after.
     """
-    w = series_window()
-    three = w.rowsBetween(-2, 0)
+    three = series_window().rangeBetween(-2, 0)
     return rows.withColumns(
         {
             "tavg_3day": full_window_mean(F.col("tavg"), three, 3),
             "cdd_3day": full_window_mean(F.col("cdd"), three, 3),
             "hdd_3day": full_window_mean(F.col("hdd"), three, 3),
-            "tavg_lag1": F.lag("tavg", 1).over(w),
+            "tavg_lag1": _days_away("tavg", -1),
         }
     ).withColumns({c: half_even(F.col(c), 1) for c in THERMAL_COLUMNS})
 
@@ -77,22 +76,27 @@ def modelling_table(demand: DataFrame, station: DataFrame, sky: DataFrame) -> Da
     return thermal_inertia(degree_days(calendar_features(joined))).select("zone", *MODELLING_COLUMNS)
 
 
+def _days_away(column: str, days: int) -> Column:
+    """The value of the row exactly ``days`` calendar days away; null if that day is absent."""
+    return F.max(column).over(series_window().rangeBetween(days, days))
+
+
 def next_day_target(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("target", F.lead("value", 1).over(series_window()))
+    """Tomorrow's value by date: null before a hole, never the row after it."""
+    return rows.withColumn("target", _days_away("value", 1))
 
 
 def demand_lags(rows: DataFrame, lags: list[int] = LAGS) -> DataFrame:
-    """Positional lags; on a densified series these are also date-exact."""
-    w = series_window()
-    return rows.withColumns({f"lag_{n}": F.lag("value", n).over(w) for n in lags})
+    """Lags by calendar date, as at serving time; a lag whose date is absent is null."""
+    return rows.withColumns({f"lag_{n}": _days_away("value", -n) for n in lags})
 
 
 def demand_rolling(rows: DataFrame, sizes: list[int] = ROLLING, places: int | None = None) -> DataFrame:
-    """``lag_0`` and means of the ``n`` rows before today, null until ``n`` rows exist."""
+    """``lag_0`` and means of the ``n`` days before today, null unless all ``n`` are there."""
     w = series_window()
 
     def mean_before(size: int) -> Column:
-        mean = full_window_mean(F.col("value"), w.rowsBetween(-size, -1), size)
+        mean = full_window_mean(F.col("value"), w.rangeBetween(-size, -1), size)
         return mean if places is None else half_even(mean, places)
 
     return rows.withColumns({"lag_0": F.col("value"), **{f"rolling_{n}": mean_before(n) for n in sizes}})

@@ -27,11 +27,11 @@ def gram(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby(by, sort=False):
+            for key, part in batch.groupby(by, sort=False, dropna=False):
                 x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(dtype=float)])
                 sums = pd.DataFrame({"cell": cells, "amount": (x.T @ x)[upper]})
                 for position, (name, value) in enumerate(zip(by, key)):
-                    sums.insert(position, name, value)
+                    sums.insert(position, name, None if pd.isna(value) else value)
                 yield sums
 
     selected = rows.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -93,14 +93,14 @@ def pairwise_correlation(rows: DataFrame, columns: list[str], by: list[str]) ->
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby(by, sort=False):
+            for key, part in batch.groupby(by, sort=False, dropna=False):
                 x = part[columns].to_numpy(dtype=float)
                 seen = ~np.isnan(x)
                 x, m = np.where(seen, x, 0.0), seen.astype(float)
                 products = [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
                 sums = pd.DataFrame({"pair": pairs, **{f"s{i}": p[lower] for i, p in enumerate(products)}})
                 for position, (name, value) in enumerate(zip(by, key)):
-                    sums.insert(position, name, value)
+                    sums.insert(position, name, None if pd.isna(value) else value)
                 yield sums
 
     means = rows.groupBy(*by).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])

@@ -10,33 +10,42 @@ from voltpanel.operators.validate import require_columns
 from voltpanel.schemas import SCORE_COLUMNS
 
 
-def prediction_actuals(predictions: DataFrame, demand: DataFrame, start: str, end: str) -> DataFrame:
-    """Predictions with the demand of their target date, over an inclusive date range."""
+def prediction_actuals(
+    predictions: DataFrame, demand: DataFrame, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Predictions with the demand of their target date; ``start`` and ``end`` are inclusive, and open if not given."""
     actual = demand.select(
         "zone", F.col("date").alias("target_date"), F.col("demand").alias("actual_demand"), "is_imputed"
     )
-    in_range = F.col("target_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-    return (
-        predictions.join(actual, ["zone", "target_date"], "inner")
-        .filter(in_range)
-        .select("zone", "target_date", "predicted_demand", "actual_demand", "model_version", "is_imputed")
-    )
+    joined = predictions.join(actual, ["zone", "target_date"], "inner")
+    if start is not None:
+        joined = joined.filter(F.col("target_date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        joined = joined.filter(F.col("target_date") <= F.to_date(F.lit(end)))
+    return joined.select("zone", "target_date", "predicted_demand", "actual_demand", "model_version", "is_imputed")
 
 
 def _zone(rows: DataFrame) -> list[str]:
     return ["zone"] if "zone" in rows.columns else []
 
 
+def _ratio(part: Column, whole: Column) -> Column:
+    """Quotient by the rules of floating point: a zero divisor gives infinity or NaN."""
+    unbounded = F.signum(part.cast("double")) * F.lit(float("inf"))
+    return F.when(whole == 0, unbounded).otherwise(F.try_divide(part.cast("double"), whole.cast("double")))
+
+
 def score_rows(joined: DataFrame) -> DataFrame:
     """Error columns per prediction; rows whose actual was imputed are left out.
 
-    A zero actual has no percentage error: the value is null.
+    A zero actual makes the percentage error infinite with the error's sign (NaN where the
+    error is zero too), so it shows in every mean instead of leaving it unseen.
     """
     require_columns(
         joined, ["target_date", "predicted_demand", "actual_demand", "model_version", "is_imputed"], "score input"
     )
     error = F.col("predicted_demand") - F.col("actual_demand")
-    pct = F.try_divide(F.col("error"), F.col("actual_demand")) * 100.0
+    pct = _ratio(F.col("error"), F.col("actual_demand")) * 100.0
     return (
         joined.filter(~F.col("is_imputed").cast("boolean"))
         .withColumn("error", error)
@@ -69,7 +78,7 @@ def offline_metrics(predicted: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         half_even(F.avg(F.abs(err))).alias("mae"),
         half_even(F.sqrt(F.avg(err.cast("double") * err))).alias("rmse"),
-        half_even(F.avg(F.abs(F.try_divide(err, F.col("actual")))) * 100.0, 2).alias("mape"),
+        half_even(F.avg(F.abs(_ratio(err, F.col("actual")))) * 100.0, 2).alias("mape"),
         half_even(F.avg(err), 1).alias("bias"),
     )
 

@@ -77,7 +77,14 @@ def search(
     n_folds: int = N_FOLDS,
     parallelism: int = 4,
 ) -> list[dict]:
-    """Points with their mean fold MAE, best first.  ``train`` carries ``block``."""
+    """Points with their mean fold MAE and the folds behind it, best first.
+
+    ``train`` carries ``block`` cut for the same ``n_folds`` (see ``expanding_blocks``);
+    another count raises, since blocks beyond it would never be used.
+    """
+    last = train.agg(F.max("block")).first()[0]
+    if last is not None and last != n_folds:
+        raise ValueError(f"blocks are cut for {last} folds, not {n_folds}")
     rows = assembled(train, features).select("features", target, "block").persist()
 
     def fold_mae(task: tuple[int, int]) -> tuple[int, int, float | None]:
@@ -95,7 +102,8 @@ def search(
     results = []
     for index, params in enumerate(points):
         maes = [mae for i, _, mae in done if i == index and mae is not None]
-        results.append({"params": params, "cv_mae": sum(maes) / len(maes) if maes else float("inf")})
+        mae = sum(maes) / len(maes) if maes else float("inf")
+        results.append({"params": params, "cv_mae": mae, "folds_used": len(maes)})
     return sorted(results, key=lambda r: (r["cv_mae"], json.dumps(r["params"], sort_keys=True)))
 
 

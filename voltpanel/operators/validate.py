@@ -71,12 +71,13 @@ def require_forecast_date(rows: DataFrame, expected: str) -> DataFrame:
     return rows
 
 
-def alignment_audit(features: DataFrame) -> DataFrame:
+def alignment_audit(features: DataFrame, panel: DataFrame) -> DataFrame:
     """Compare each row with the row of the next calendar day, where there is one.
 
     Counts pairs whose target, forecast temperature or holiday flag disagree with what
-    the next day itself carries.  A key join rather than a window on purpose: the audit
-    does not share code with the shift it checks.
+    the next day itself carries, and rows that have a target though ``panel`` (the series
+    before any row was left out) lacks the next day.  Key joins rather than windows on
+    purpose: the audit does not share code with the shift it checks.
     """
 
     def differs(left: str, right: str) -> Column:
@@ -89,25 +90,31 @@ def alignment_audit(features: DataFrame) -> DataFrame:
         F.col("value").alias("_value"),
         F.col("tavg").alias("_tavg"),
         F.col("is_holiday").alias("_is_holiday"),
+        F.lit(True).alias("_paired"),
     )
-    pairs = features.select("zone", "period", "target", "tavg_fc", "is_holiday_next").join(
-        following, ["zone", "period"], "inner"
+    days = panel.select("zone", F.date_sub("period", 1).alias("period"), F.lit(True).alias("_exists"))
+    pairs = (
+        features.select("zone", "period", "target", "tavg_fc", "is_holiday_next")
+        .join(following, ["zone", "period"], "left")
+        .join(days, ["zone", "period"], "left")
     )
     return pairs.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("pairs"),
+        F.count("_paired").alias("pairs"),
         differs("target", "_value").alias("target_mismatches"),
         differs("tavg_fc", "_tavg").alias("weather_mismatches"),
         differs("is_holiday_next", "_is_holiday").alias("calendar_mismatches"),
+        F.count_if(F.col("_exists").isNull() & F.col("target").isNotNull()).alias("absent_targets"),
     )
 
 
-def require_aligned(features: DataFrame) -> None:
-    bad = alignment_audit(features).filter(
-        "target_mismatches + weather_mismatches + calendar_mismatches > 0"
+def require_aligned(features: DataFrame, panel: DataFrame) -> None:
+    bad = alignment_audit(features, panel).filter(
+        "target_mismatches + weather_mismatches + calendar_mismatches + absent_targets > 0"
     )
-    found = bad.limit(SHOWN).collect()
-    if found:
-        raise ValueError(f"features are not aligned with the next day: {[r.asDict() for r in found]}")
+    n = bad.count()
+    if n:
+        shown = [r.asDict() for r in bad.orderBy("zone").limit(SHOWN).collect()]
+        raise ValueError(f"features are not aligned with the next day in {n} zones: {shown}")
 
 
 def freshness_gate(demand: DataFrame, target_date: str) -> DataFrame:

@@ -48,7 +48,6 @@ RECENT_START = "2001-06-28"
 BACKFILL_START = "2001-01-01"
 SOURCE_SWITCH = "2001-01-01"
 PERSISTENCE_BASE = "persistence (lag_0)"
-YEARS = list(range(1995, 2002))
 
 
 def query(build: Query) -> Query:
@@ -165,7 +164,7 @@ def upsert_prediction(spark, sf_dir):
 
 def _scores(spark, sf_dir, actual: DataFrame, lag: int = 7) -> DataFrame:
     predictions = fx.persistence_table(fx.demand(spark, sf_dir), lag)
-    joined = scoring.prediction_actuals(predictions, fx.demand_table(actual), "1995-01-01", "2001-12-31")
+    joined = scoring.prediction_actuals(predictions, fx.demand_table(actual))
     return scoring.score_rows(joined)
 
 
@@ -377,7 +376,8 @@ def validate_weather(spark, sf_dir):
 @query
 def alignment_audit(spark, sf_dir):
     table = features.next_day_features(features.history_features(fx.modelling(spark, sf_dir).fillna(0.0, ["snwd"])))
-    return publish(validate.alignment_audit(table.dropna(subset=FORECAST_FEATURES + ["target"])))
+    kept = table.dropna(subset=FORECAST_FEATURES + ["target"])
+    return publish(validate.alignment_audit(kept, fx.demand(spark, sf_dir)))
 
 
 @query
@@ -505,7 +505,7 @@ def temperature_bins(spark, sf_dir):
 
 @query
 def yoy_overlay(spark, sf_dir):
-    return publish(explore.yoy_overlay(fx.demand(spark, sf_dir), YEARS).withColumnsRenamed({str(y): f"y{y}" for y in YEARS}))
+    return publish(explore.yoy_overlay(fx.demand(spark, sf_dir)))
 
 
 @query
@@ -623,9 +623,11 @@ BOOSTED_TRIAL = [{**p, "maxIter": 5} for p in trees.random_points(trees.BOOSTED_
 
 
 def _search_report(spark, sf_dir, kind, points) -> DataFrame:
-    results = trees.search(_train(_model_rows(spark, sf_dir)), INFERENCE_FEATURES, kind, points, n_folds=2)
-    rows = [(place, str(sorted(r["params"].items())), float(r["cv_mae"])) for place, r in enumerate(results, 1)]
-    return spark.createDataFrame(rows, "place int, params string, cv_mae double")
+    results = trees.search(_train(_model_rows(spark, sf_dir)), INFERENCE_FEATURES, kind, points)
+    rows = [
+        (place, str(sorted(r["params"].items())), float(r["cv_mae"]), r["folds_used"]) for place, r in enumerate(results, 1)
+    ]
+    return spark.createDataFrame(rows, "place int, params string, cv_mae double, folds_used int")
 
 
 @query
@@ -639,8 +641,10 @@ def gbt_search(spark, sf_dir):
 
 
 def _final_model(rows: DataFrame):
+    """The winner of the search over the training folds, refitted on train and validation rows."""
+    winner = trees.search(_train(rows), INFERENCE_FEATURES, "forest", FOREST_TRIAL)[0]["params"]
     known = rows.filter(F.col("split").isin("train", "val"))
-    return trees.fit_final(known, INFERENCE_FEATURES, "forest", FOREST_TRIAL[1])
+    return trees.fit_final(known, INFERENCE_FEATURES, "forest", winner)
 
 
 @query

@@ -32,12 +32,13 @@ def r_as(names: list[str], places: int = 6) -> str:
 
 
 def frame_mean(x: str, size: int) -> str:
-    frame = f"(PARTITION BY zone ORDER BY period ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING)"
+    days = f"RANGE BETWEEN INTERVAL {size} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING"
+    frame = f"(PARTITION BY zone ORDER BY period {days})"
     return f"CASE WHEN count({x}) OVER {frame} = {size} THEN avg({x}) OVER {frame} END"
 
 
 def three_day(x: str) -> str:
-    frame = "(PARTITION BY zone ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    frame = "(PARTITION BY zone ORDER BY period RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({x}) OVER {frame} = 3 THEN avg({x}) OVER {frame} END"
 
 
@@ -48,8 +49,10 @@ FIXED = (
 
 def holiday(d: str) -> str:
     tests = [FIXED.format(d=d)]
+    since = {1: 1986, 2: 1971, 5: 1971, 10: 1971}
     for month, first, last, iso in [(1, 15, 21, 1), (2, 15, 21, 1), (5, 25, 31, 1), (9, 1, 7, 1), (10, 8, 14, 1), (11, 22, 28, 4)]:
-        tests.append(f"(month({d}) = {month} AND day({d}) BETWEEN {first} AND {last} AND isodow({d}) = {iso})")
+        year = f" AND year({d}) >= {since[month]}" if month in since else ""
+        tests.append(f"(month({d}) = {month} AND day({d}) BETWEEN {first} AND {last} AND isodow({d}) = {iso}{year})")
     tests.append(f"(isodow({d}) = 5 AND {FIXED.format(d=f'({d} + 1)')})")
     tests.append(f"(isodow({d}) = 1 AND {FIXED.format(d=f'({d} - 1)')})")
     return "CASE WHEN " + " OR ".join(tests) + " THEN 1 ELSE 0 END"
@@ -139,13 +142,18 @@ persist_{n} AS (
   FROM demand b JOIN demand a ON a.zone = b.zone AND a.period = b.period - {n})"""
 
 
+_RATIO = (
+    "CASE WHEN a.value = 0 THEN sign(p.predicted_demand) * 'inf'::DOUBLE "
+    "ELSE (p.predicted_demand - a.value) / CAST(a.value AS DOUBLE) END"
+)
+
+
 def scores(name: str, predictions: str, actual: str, flag: str) -> str:
     return f"""
 {name} AS (
   SELECT p.zone, p.target_date, p.predicted_demand, CAST(a.value AS DOUBLE) AS actual_demand,
     p.predicted_demand - a.value AS error, abs(p.predicted_demand - a.value) AS abs_error,
-    (p.predicted_demand - a.value) / nullif(CAST(a.value AS DOUBLE), 0) * 100.0::DOUBLE AS pct_error,
-    abs((p.predicted_demand - a.value) / nullif(CAST(a.value AS DOUBLE), 0) * 100.0::DOUBLE) AS abs_pct_error,
+    {_RATIO} * 100.0::DOUBLE AS pct_error, abs({_RATIO} * 100.0::DOUBLE) AS abs_pct_error,
     p.model_version, false AS is_imputed
   FROM {predictions} p JOIN {actual} a ON a.zone = p.zone AND a.period = p.target_date WHERE {flag})"""
 
@@ -204,15 +212,16 @@ degrees AS (
   SELECT *, CASE WHEN tavg IS NULL THEN NULL ELSE greatest(50 - tavg, 0) END AS hdd,
     CASE WHEN tavg IS NULL THEN NULL ELSE greatest(tavg - 65, 0) END AS cdd FROM joined),
 inertia AS (
-  SELECT *, {three_day('tavg')} AS tavg_3day, {three_day('cdd')} AS cdd_3day, {three_day('hdd')} AS hdd_3day,
-    lag(tavg) OVER (PARTITION BY zone ORDER BY period) AS tavg_lag1 FROM degrees),
+  SELECT g.*, y.tavg AS tavg_lag1
+  FROM (SELECT *, {three_day('tavg')} AS tavg_3day, {three_day('cdd')} AS cdd_3day, {three_day('hdd')} AS hdd_3day FROM degrees) g
+  LEFT JOIN degrees y ON y.zone = g.zone AND y.period = g.period - 1),
 modelling AS (
   SELECT zone, {", ".join(r(c, 1) + " AS " + c if c in THERMAL_COLUMNS else c for c in MODELLING_COLUMNS)} FROM inertia),
 history AS (
-  SELECT *, lead(value) OVER (PARTITION BY zone ORDER BY period) AS target, value AS lag_0,
-    {", ".join(f"lag(value, {n}) OVER (PARTITION BY zone ORDER BY period) AS lag_{n}" for n in LAGS)},
-    {", ".join(f"{frame_mean('value', n)} AS rolling_{n}" for n in ROLLING)}
-  FROM modelling),
+  SELECT m.*, t.value AS target, m.value AS lag_0, {", ".join(f"l{n}.value AS lag_{n}" for n in LAGS)}
+  FROM (SELECT *, {", ".join(f"{frame_mean('value', n)} AS rolling_{n}" for n in ROLLING)} FROM modelling) m
+  LEFT JOIN demand t ON t.zone = m.zone AND t.period = m.period + 1
+  {" ".join(f"LEFT JOIN demand l{n} ON l{n}.zone = m.zone AND l{n}.period = m.period - {n}" for n in LAGS)}),
 filled_history AS (SELECT * REPLACE (coalesce(snwd, 0) AS snwd) FROM history),
 with_next AS (
   SELECT t.*, {", ".join(f"n.{c} AS {c}_fc" for c in FORECAST_WEATHER)},
@@ -521,9 +530,11 @@ _BODIES = {
         f"SELECT count(*) AS n_rows, '{c}' AS feature, count(*) - count({c}) AS n_null FROM inference_raw" for c in INFERENCE_FEATURES
     ),
     "validate_weather": f"SELECT {_dated('date')}, 'snowdepth' AS missing FROM weather WHERE snwd IS NULL",
-    "alignment_audit": f"SELECT a.zone, count(*) AS pairs, {_CLOSE.format('target', 'value')} AS target_mismatches, "
-    f"{_CLOSE.format('tavg_fc', 'tavg')} AS weather_mismatches, {_CLOSE.format('is_holiday_next', 'is_holiday')} AS calendar_mismatches "
-    f"FROM (SELECT * FROM with_next WHERE {_ALIGNED}) a JOIN (SELECT * FROM with_next WHERE {_ALIGNED}) b ON b.zone = a.zone AND b.period = a.period + 1 GROUP BY a.zone",
+    "alignment_audit": f"SELECT a.zone, count(b.period) AS pairs, {_CLOSE.format('target', 'value')} AS target_mismatches, "
+    f"{_CLOSE.format('tavg_fc', 'tavg')} AS weather_mismatches, {_CLOSE.format('is_holiday_next', 'is_holiday')} AS calendar_mismatches, "
+    "sum(CASE WHEN d.period IS NULL THEN 1 ELSE 0 END) AS absent_targets "
+    f"FROM (SELECT * FROM with_next WHERE {_ALIGNED}) a LEFT JOIN (SELECT * FROM with_next WHERE {_ALIGNED}) b ON b.zone = a.zone AND b.period = a.period + 1 "
+    "LEFT JOIN demand d ON d.zone = a.zone AND d.period = a.period + 1 GROUP BY a.zone",
     "freshness_gate": "SELECT zone, CAST(max(period) AS VARCHAR) AS latest, CASE WHEN max(period) = DATE '2001-08-01' THEN 'ready' ELSE 'unavailable' END AS status "
     "FROM raw WHERE period <= DATE '2001-08-01' GROUP BY zone",
     "split_report": "SELECT CASE WHEN period < DATE '2000-01-01' THEN 'train' WHEN period < DATE '2001-01-01' THEN 'val' ELSE 'test' END AS split, "
