@@ -234,6 +234,17 @@ def test_leaks_are_found_when_edited(spark, odd, none):
     assert decontaminate.clean(odd, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_leaks_in_hot_groups_of_edited_copies(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    item, body = [word() for _ in range(36)], [word() for _ in range(100)]
+    # One exact copy and many that share only the item's first five words in one run.
+    hot = [body[:60] + item[:4] + [word() if k % 5 == 0 else w for k, w in enumerate(item[4:], 4)] for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(map(" ".join, [body + item, body, *hot]))), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.leaks(frame, bench).collect()} == {0, *range(2, 42)}
+
+
 def test_alignment_equals_the_textbook_table():
     rng = np.random.default_rng(4)
     a = [rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(50)]

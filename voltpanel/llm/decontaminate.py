@@ -1,23 +1,27 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are cut into word n-grams. A document that holds one of them is a candidate for
-the item; the passage around the shared n-grams is taken out of the whole text. N-grams
-that very many documents share say little, so an item is represented by its rare ones,
-with frequencies counted over all documents and beside the item's other n-grams. The passages
-of the remaining candidates are aligned with the item word by word (Smith-Waterman), which
-scores verbatim, edited and paraphrased copies alike; a share of ``MIN_SCORE`` of the best
-possible score is a leak.
-
-Defined results: null and blank texts and items match nothing; an item shorter than the
-n-gram is one seed of all its words; repeated items and rows each give their own rows; a
+"""Benchmark decontamination: an exact word-count filter, then Smith-Waterman alignment.
+
+A document leaks an item if the best local alignment of the two (Smith-Waterman, word by
+word) reaches a share of ``MIN_SCORE`` of the best possible score, so verbatim, edited and
+paraphrased copies count alike. With m matched words and x mismatches and gaps the score is
+2m - x, so a leak of score t has at least t / 2 matched words and spans at most 3n - t words
+of the text (n: the item's words). Texts are cut into overlapping stretches that hold every
+such span whole; a stretch is aligned if it has enough of the item's words in common, each
+counted at most as often as the item has it. No other candidate can reach the score, and
+none is dropped for being frequent: edits may be as dense as the score allows.
+
+Defined results: null and blank texts and items match nothing; an item of fewer than
+``SEED_WORDS`` words must be there word for word; repeated items and rows each give their own rows; a
 null doc_id or item_id keeps its row; an empty table on either side gives no leaks; other
 columns are ignored by ``leaks`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltpanel.llm.common import column, fresh, slices
-from voltpanel.session import materialised
 
 SEED_WORDS = 5
-#: A seed is common if more than this share of the documents hold it and it is also this many
-#: times as frequent as the item's middle seed.
-COMMON_SHARE, BESIDE = 0.001, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Test words up to which the items travel to every task (about 50 bytes a word); larger sets
-#: are joined by a shuffle on the n-gram.
+#: are taken in parts.
 BROADCAST_WORDS = 2_000_000
+#: Counters (stretches by items) held at a time.
+COUNTERS = 4_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -43,65 +45,99 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def hashes(tokens: list[str]) -> np.ndarray:
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, tokens), np.uint64, len(tokens))
-
-
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """One hash per run of ``n`` words, from the words' hashes."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-class Seeds:
-    """The items' n-grams as a sorted table: hash -> items and places."""
-
-    def __init__(self, items: list[tuple], n: int):
-        self.n, self.tokens, self.h = n, [], []
-        rows: list[tuple[int, int, int]] = []
-        for number, (_, text) in enumerate(items):
-            tokens = words(text)
-            h = hashes(tokens)
-            self.tokens.append(tokens)
-            self.h.append(h)
-            for place, g in enumerate(gram_hashes(h, n)):
-                rows.append((int(g), number, place))
-            if 0 < len(tokens) < n:
-                rows.append((int(gram_hashes(h, len(tokens))[0]), number, 0))
-        rows.sort()
-        self.gram = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
-        self.short = sorted({len(t) for t in self.tokens if 0 < len(t) < n})
-        # A bit table in front of the exact search: most n-grams of a text end here.
-        self.front = np.zeros(1 << 20, bool)
-        self.front[(self.gram & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(seed row, item, its place, place in the text) for every shared n-gram."""
-        seed, at = [], []
-        for n in [self.n, *self.short]:
-            grams = gram_hashes(h, n)
-            here = np.flatnonzero(self.front[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            low, high = (np.searchsorted(self.gram, grams[here], side) for side in ("left", "right"))
-            count = high - low
-            if count.sum():
-                start = np.repeat(low - np.cumsum(count) + count, count)
-                seed.append(start + np.arange(count.sum()))
-                at.append(np.repeat(here, count))
-        if not seed:
+class Lengths:
+    """Items of similar length: which of them hold a word for the k-th time, and what a leak needs."""
+
+    def __init__(self, numbers: list[int], items: list[np.ndarray], scores: list[int], size: int):
+        self.numbers = np.array(numbers, np.int64)
+        # The longest span of a leak in the text: a stretch is two of these, one overlapping.
+        self.span = max(3 * len(items[k]) - scores[k] for k in numbers)
+        self.need = np.array([-(-scores[k] // MATCH) for k in numbers], np.int64)
+        counts = [Counter(items[k].tolist()) for k in numbers]
+        self.levels = max(max(c.values()) for c in counts)
+        rows = sorted((w * self.levels + level, at) for at, c in enumerate(counts) for w, many in c.items() for level in range(many))
+        entry = np.array([r[0] for r in rows], np.int64)
+        self.holder = np.array([r[1] for r in rows], np.int64)
+        self.begin = np.searchsorted(entry, np.arange(size * self.levels + 1))
+        self.known = np.zeros(size, bool)
+        self.known[entry // self.levels] = True
+
+    def stretches(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, item) of all stretches that share the words a leak needs."""
+        size = len(self.known)
+        keys, owner, first, cells = [], [], [], 0
+        for number, text in enumerate(texts):
+            blocks = len(text) // self.span + 1
+            at = np.flatnonzero(self.known[text])
+            # Cell c of a text holds its blocks c - 1 and c.
+            cell, word = cells + at // self.span, text[at]
+            keys += [cell * size + word, (cell + 1) * size + word]
+            owner.append(np.full(blocks + 1, number, np.int64))
+            first.append((np.arange(blocks + 1) - 1) * self.span)
+            cells += blocks + 1
+        key = np.sort(np.concatenate(keys))
+        if not len(key):
             none = np.empty(0, np.int64)
-            return none, none, none, none
-        row, place = np.concatenate(seed), np.concatenate(at)
-        return row, self.item[row], self.place[row], place
+            return none, none, none
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        level = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+        key = key[level < self.levels]
+        cell, entry = key // size, key % size * self.levels + level[level < self.levels]
+        many = self.begin[entry + 1] - self.begin[entry]
+        here = many > 0
+        cell, entry, many = cell[here], entry[here], many[here]
+        width = len(self.numbers)
+        found_cell, found_item = [], []
+        step = max(1, COUNTERS // width)
+        for low in range(0, cells, step):
+            a, b = np.searchsorted(cell, (low, low + step))
+            n = many[a:b]
+            place = np.repeat(self.begin[entry[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(np.repeat(cell[a:b] - low, n) * width + self.holder[place], minlength=width)
+            shared = np.append(shared, np.zeros(-len(shared) % width, np.int64)).reshape(-1, width)
+            c, i = np.nonzero(shared >= self.need)
+            found_cell.append(c + low)
+            found_item.append(i)
+        cell, item = np.concatenate(found_cell), np.concatenate(found_item)
+        return np.concatenate(owner)[cell], np.concatenate(first)[cell], self.numbers[item]
+
+
+class Items:
+    """The items as word numbers, grouped by length. 0 and 1 are no item's words."""
+
+    def __init__(self, texts: list[str | None], n: int, min_score: float):
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary.setdefault
+        self.items = [np.array([number(w, len(self.vocabulary) + 2) for w in words(t)], np.int64) for t in texts]
+        self.full = [MATCH * len(x) for x in self.items]
+        self.score = [max(1, math.ceil(f * (min_score if len(x) >= n else 1.0) - 1e-9)) for f, x in zip(self.full, self.items)]
+        groups: dict[int, list[int]] = {}
+        for k, x in enumerate(self.items):
+            if 0 < len(x) and self.score[k] <= self.full[k]:
+                groups.setdefault(len(x).bit_length() if len(x) & (len(x) - 1) else len(x).bit_length() - 1, []).append(k)
+        size = len(self.vocabulary) + 2
+        self.groups = [Lengths(g, self.items, self.score, size) for g in groups.values()]
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words(text), repeat(1)), np.int64)
+
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, float]]:
+        """(text, item, start of the best stretch, score) of every couple that reaches its score."""
+        texts = [self.numbers(t) for t in texts]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for group in self.groups:
+            owner, first, item = (x.tolist() for x in group.stretches(texts))
+            begin = [max(0, f) for f in first]
+            passage = [texts[t][a : max(0, f + 2 * group.span)] for t, a, f in zip(owner, begin, first)]
+            order = sorted(range(len(item)), key=lambda i: (len(passage[i]), len(self.items[item[i]])))
+            for at in range(0, len(order), 32):
+                some = order[at : at + 32]
+                scores = align([self.items[item[i]] for i in some], [passage[i] for i in some])
+                for i, score in zip(some, scores.tolist()):
+                    if score >= self.score[item[i]]:
+                        couple = owner[i], item[i]
+                        best[couple] = max(best.get(couple, (0, 0)), (score, -begin[i]))
+        return [(t, k, -start, score / self.full[k]) for (t, k), (score, start) in sorted(best.items())]
 
 
 def align(item: list[np.ndarray], passage: list[np.ndarray]) -> np.ndarray:
@@ -126,101 +162,29 @@ def align(item: list[np.ndarray], passage: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def passages(place_item: np.ndarray, place_text: np.ndarray, item_words: int, text_words: int) -> list[tuple[int, int]]:
-    """Stretches of the text in which the item could lie, given their shared n-grams."""
-    slack = item_words // 2 + 5
-    begin = np.maximum(0, place_text - place_item - slack)
-    stop = np.minimum(text_words, place_text - place_item + item_words + slack)
-    order = np.argsort(begin, kind="stable")
-    out: list[list[int]] = []
-    for a, b in zip(begin[order].tolist(), stop[order].tolist()):
-        if out and a <= out[-1][1] and b - out[-1][0] <= 6 * item_words + 40:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-CANDIDATE = "doc_id bigint, item bigint, item_words array<bigint>, start bigint, passage array<bigint>, seeds array<bigint>"
+LEAK = "doc_id bigint, item bigint, n_words bigint, start bigint, score double"
 
 
-def candidates(docs: DataFrame, items: list[tuple], n: int = SEED_WORDS) -> DataFrame:
-    """One row per document, item and stretch that shares n-grams: the words' hashes and the seeds."""
-    shared = docs.sparkSession.sparkContext.broadcast(Seeds(items, n))
+def find_leaks(docs: DataFrame, items: Items) -> DataFrame:
+    """One row per document and item that reaches its score."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]):
-        seeds = shared.value
+        known = shared.value
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                tokens = words(text)
-                if not tokens or not len(seeds.gram):
-                    continue
-                h = hashes(tokens)
-                row, item, place_item, place_text = seeds.hits(h)
-                for number in np.unique(item).tolist():
-                    mine = item == number
-                    size = len(seeds.tokens[number])
-                    for a, b in passages(place_item[mine], place_text[mine], size, len(h)):
-                        inside = mine & (place_text >= a) & (place_text < b)
-                        used = np.unique(seeds.gram[row[inside]]).view(np.int64)
-                        rows.append(
-                            (doc_id, number, seeds.h[number].view(np.int64), a, h[a:b].view(np.int64), used)
-                        )
-            ints, longs = pa.int64(), pa.list_(pa.int64())
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, (ints, ints, longs, ints, longs, longs))],
-                ["doc_id", "item", "item_words", "start", "passage", "seeds"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, CANDIDATE)
-
-
-def rare_candidates(found: DataFrame, n_docs: int) -> DataFrame:
-    """Candidates that share a rare seed of their item.
-
-    Document frequencies come from all candidates. The seed tables are as large as the test set.
-    """
-    use = found.select("doc_id", "item", F.explode("seeds").alias("seed"))
-    frequency = use.groupBy("item", "seed").agg(F.count(F.lit(1)).alias("df"))
-    common = max(10, int(COMMON_SHARE * n_docs))
-    # A passage that sits in very many documents makes all seeds of its item frequent: what
-    # counts is frequency beside the item's other seeds, so none of its copies is lost.
-    middle = frequency.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("middle"))
-    rare = frequency.join(middle, "item").filter(F.col("df") <= F.greatest(F.lit(common), BESIDE * F.col("middle")))
-    rare = rare.groupBy("item").agg(F.collect_set("seed").alias("rare"))
-    return found.join(rare, "item").filter(F.arrays_overlap("seeds", "rare")).drop("rare")
-
-
-def score(found: DataFrame) -> DataFrame:
-    """doc_id, item, start, n_item, score (share of the best possible alignment) of each candidate."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, 256):
-            item = [np.array(x, np.int64).view(np.uint64) for x in column(batch, "item_words")]
-            passage = [np.array(x, np.int64).view(np.uint64) for x in column(batch, "passage")]
-            best = np.zeros(len(item))
-            order = sorted(range(len(item)), key=lambda i: (len(passage[i]), len(item[i])))
-            for at in range(0, len(order), 32):
-                some = order[at : at + 32]
-                best[some] = align([item[i] for i in some], [passage[i] for i in some])
-            full = np.array([MATCH * len(x) for x in item], float)
+            ids = column(batch, "doc_id")
+            rows = [(ids[t], k, len(known.items[k]), start, score) for t, k, start, score in known.leaks(column(batch, "text"))]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "item", "start")
-                ]
-                + [pa.array([len(x) for x in item], pa.int64()), pa.array(np.minimum(1.0, best / full))],
-                ["doc_id", "item", "start", "n_item", "score"],
+                [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item", "n_words", "start", "score"]
             )
 
-    return found.select("doc_id", "item", "start", "item_words", "passage").mapInArrow(
-        run, "doc_id bigint, item bigint, start bigint, n_item bigint, score double"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, LEAK)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, item_id, n_words (of the item), start (word in the text), score: best passage per couple.
+    """doc_id, item_id, n_words (of the item), start (word in the text), score: best stretch per couple.
 
     The test set must fit the stated bound to travel to the tasks; a larger one is taken in
     parts of that size, one pass over the documents each.
@@ -229,20 +193,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_score:
     sizes = benchmark.select("item_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")).alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     parts = max(1, -(-total // BROADCAST_WORDS))
-    n_docs = docs.count()
     out = None
     for part in range(parts):
         mine = sizes.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sizes
         items = [(r[0], r[1]) for r in mine.select("item_id", "text").collect()]
-        found = materialised(candidates(docs, items, n), "candidates")
-        best = score(rare_candidates(found, n_docs)).filter(F.col("score") >= min_score)
         names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(items)], "item bigint, item_id bigint")
-        best = best.groupBy("doc_id", "item").agg(
-            F.max_by(F.struct("n_item", "start", "score"), F.struct("score", -F.col("start"))).alias("_best")
-        )
-        rows = best.join(F.broadcast(names), "item").select(
-            "doc_id", "item_id", F.col("_best.n_item").alias("n_words"), F.col("_best.start").alias("start"), F.col("_best.score").alias("score")
-        )
+        found = find_leaks(docs, Items([x[1] for x in items], n, min_score))
+        rows = found.join(F.broadcast(names), "item").select("doc_id", "item_id", "n_words", "start", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
 
