@@ -245,6 +245,24 @@ def test_leaks_in_hot_groups_of_edited_copies(spark):
     assert {r.doc_id for r in decontaminate.leaks(frame, bench).collect()} == {0, *range(2, 42)}
 
 
+def test_leaks_with_edits_as_dense_as_the_score_allows(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    item, body = [word() for _ in range(36)], [word() for _ in range(100)]
+    every = [[word() if k % n == n - 1 else w for k, w in enumerate(item)] for n in (2, 3, 4, 5)]
+    spaced = [x for w in item for x in (w, word())]  # no two words of the item stand side by side
+    rows = list(enumerate(map(" ".join, [body + item, spaced, body + item[:17], *[body + e + body for e in every]])))
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "one two three"), (9, None)], "item_id bigint, text string")
+    frame = spark.createDataFrame([*rows, (900, "one two x three"), (901, "x one two three")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.item_id, r.score) for r in decontaminate.leaks(frame, bench).collect()}
+    assert set(got) == {0, 1, 4, 5, 6, 901} and got[901] == (8, 1.0)
+    # The whole texts aligned without any filter give the same scores.
+    number = {w: i + 2 for i, w in enumerate(item)}
+    for at, text in rows:
+        whole = decontaminate.align([np.arange(2, 38)], [np.array([number.get(w, 1) for w in text.split()])])[0] / 72
+        assert got.get(at, (7, 0.0))[1] == (whole if whole >= 0.5 else 0.0)
+
+
 def test_alignment_equals_the_textbook_table():
     rng = np.random.default_rng(4)
     a = [rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(50)]
