@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltpanel.operators import linear, moments, scoring, splits, trees
+from voltpanel.plans import catalog
 from voltpanel.sinks import models as artefacts
 
 FEATURES = ["a", "b", "c", "d"]
@@ -174,6 +175,27 @@ def test_pairwise_correlation_with_holes_and_constants(spark, zones):
     assert moments.correlated_pairs(moments.pairwise_correlation(spark.createDataFrame(zones["p"]), FEATURES, ["zone"])).count() == 0
 
 
+def test_forward_selection_stops_when_the_mae_does(train, zones):
+    every = linear.forward_selection(train, FEATURES, steps=4).toPandas()
+    got = linear.forward_selection(train, FEATURES).toPandas()
+    for zone in zones:
+        mae = every[every.zone == zone].sort_values("step")["cv_mae"].tolist()
+        stop = next((i for i in range(1, 4) if not mae[i] < mae[i - 1]), 4)
+        assert got[got.zone == zone].sort_values("step")["cv_mae"].tolist() == pytest.approx(mae[:stop])
+
+
+def test_registered_searches_try_all_points(monkeypatch):
+    tried = []
+    monkeypatch.setattr(catalog, "_model_rows", lambda *_: None)
+    monkeypatch.setattr(catalog, "_train", lambda rows: rows)
+    monkeypatch.setattr(trees, "search", lambda train, features, kind, points: tried.append((kind, points)) or 1 / 0)
+    for name in ("rf_grid", "gbt_search", "tree_importance"):
+        with pytest.raises(ZeroDivisionError):
+            catalog.QUERIES[name](None, None)
+    forest, boosted = trees.grid_points(trees.FOREST_GRID), trees.random_points(trees.BOOSTED_RANDOM)
+    assert tried == [("forest", forest), ("boosted", boosted), ("forest", forest)]
+
+
 def test_grids():
     assert len(trees.grid_points(trees.FOREST_GRID)) == 108
     assert len(trees.grid_points(trees.BOOSTED_GRID)) == 48

@@ -149,10 +149,13 @@ def coefficient_importance(models: DataFrame, features: list[str]) -> DataFrame:
 
 
 def forward_selection(
-    train: DataFrame, features: list[str], target: str = "target", steps: int = 3, n_folds: int = N_FOLDS
+    train: DataFrame, features: list[str], target: str = "target", steps: int | None = None, n_folds: int = N_FOLDS
 ) -> DataFrame:
     """Greedy selection by expanding-window CV MAE, one choice per zone and step.
 
+    A zone ends when its best candidate no longer lowers the CV MAE, or with a given
+    number of ``steps`` after these, whatever they bring.
+
     Fits come from the moments, without touching the rows.  Absolute errors are not
     additive in moments, so each step makes one pass that scores all candidates of all
     folds at once; its weights travel with the zone, never through the driver.
@@ -167,7 +170,8 @@ def forward_selection(
 
     def fit_candidates(key, part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         blocks = _by_block(part, k + 1)
-        done = list(state["selected"].iloc[0]) if len(state) else []
+        # A zone without a state has ended.
+        done = list(state["selected"].iloc[0]) if len(state) else features
         out = []
         for candidate in [c for c in features if c not in done]:
             use = sorted(features.index(c) for c in done + [candidate])
@@ -179,7 +183,7 @@ def forward_selection(
         return pd.DataFrame(out, columns=["zone", "selected", "candidate", "block", "intercept", "coef"])
 
     results = []
-    for step in range(1, min(steps, k) + 1):
+    for step in range(1, min(k if steps is None else steps, k) + 1):
         fits = cells.groupBy("zone").cogroup(chosen.groupBy("zone")).applyInPandas(fit_candidates, fit_schema)
         error = F.abs(
             reduce(lambda a, b: a + b, [F.col(c) * F.col("coef")[i] for i, c in enumerate(features)], F.col("intercept"))
@@ -192,10 +196,15 @@ def forward_selection(
         )
         cv = fold_mae.groupBy("zone", "candidate").agg(F.avg("mae").alias("cv_mae"), F.first("selected").alias("selected"))
         best = cv.groupBy("zone").agg(F.min_by(F.struct("candidate", "cv_mae", "selected"), F.struct("cv_mae", "candidate")).alias("_b"))
+        if steps is None and results:
+            before = step_result.select("zone", F.col("cv_mae").alias("_before"))
+            best = best.join(before, "zone").filter(F.col("_b.cv_mae") < F.col("_before"))
         # Each step builds on the one before: cut the chain or it grows with the steps.
         step_result = materialised(
             best.select("zone", F.lit(step).alias("step"), "_b.candidate", "_b.cv_mae", "_b.selected"), "selection-step"
         )
+        if results and step_result.isEmpty():
+            break
         results.append(step_result.select("zone", "step", F.col("candidate").alias("feature"), "cv_mae"))
         chosen = step_result.select("zone", F.array_append("selected", F.col("candidate")).alias("selected"))
     return reduce(DataFrame.unionByName, results)
