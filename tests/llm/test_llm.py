@@ -179,6 +179,20 @@ def test_main_text():
     assert html_density.main_text("<div>" * 20000 + "deep text") == "deep text"
 
 
+def test_main_text_of_several_sections():
+    words = [f"Sentence {i} of the text " + "goes on with more words " * 4 for i in range(20)]
+    section = lambda some: "<div>" + "".join(f"<p>{w}</p>" for w in some) + "</div>"
+    menu = "<ul>" + "".join(f"<li><a href={i}>Menu entry {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<body>{menu}<div>{section(words[:10])}{menu}{section(words[10:])}</div><div class=footer><p>{words[0]}</p></div>"
+    assert html_density.main_text(page) == "\n\n".join(w.strip() for w in words)
+    # Links inside an article belong to it, a paragraph and a list of sources alike.
+    sources = "<p><a href=x>The only link</a></p><ul><li><a href=y>Source one</a></li><li><a href=z>Source two</a></li></ul>"
+    got = html_density.main_text(f"<body>{menu}<article>{section(words[:10])}{sources}</article>{menu}")
+    assert got == "\n\n".join([*(w.strip() for w in words[:10]), "The only link", "Source one", "Source two"])
+    two = html_density.main_text(f"<main><article>{section(words[:10])}</article>{menu}<article>{section(words[10:])}</article></main>")
+    assert two == "\n\n".join(w.strip() for w in words)
+
+
 def test_main_text_keeps_null_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x</p>", 2)], "page_id bigint, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_density.main_texts(pages).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]

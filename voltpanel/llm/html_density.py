@@ -2,9 +2,11 @@
 
 Every DOM node gets its characters, tags, link characters and link tags. A node's
 composite density is characters per tag, lowered for links; its density sum adds up its
-children's densities. The subtree with the greatest sum holds the article, and the least
-density on the path from it up to the body is the threshold below which its parts are
-dropped.
+children's densities. The subtree with the greatest sum is kept whole, and the least
+density on the path from it up to the body is the threshold from which other parts of the
+page, outside its frame, are kept too. An ``article`` or ``main`` mark around the subtree
+tells where the text ends: only other marks are then added. Lists of links are dropped
+outside the subtree, or where it is the whole body.
 
 Pages are independent, so this is one map over them; a page's tree lives only while its
 text is made.
@@ -18,6 +20,7 @@ are ignored. Pages of any size or depth are read whole, without recursion.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -162,6 +165,21 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
+def link_share(body: Node) -> float:
+    return body.link_chars / max(body.chars, 1)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag, lowered for links."""
+    if not chars:
+        return 0.0
+    c, t, lc, lt = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    if c / lc * t / lt <= 1:
+        return 0.0
+    base = math.log(c / max(c - link_chars, 1) * link_chars + share * c + math.e)
+    return c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9))
+
+
 def measure(nodes: list[Node]) -> None:
     """Counts bottom-up, then composite densities and their sums."""
     for node in reversed(nodes):
@@ -174,24 +192,49 @@ def measure(nodes: list[Node]) -> None:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
-    body = nodes[0]
-    share = body.link_chars / max(body.chars, 1)
+    share = link_share(nodes[0])
     for node in nodes:
-        if not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        plain = max(c - node.link_chars, 1)
-        base = math.log(c / plain * node.link_chars + share * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9)) if c / lc * t / lt > 1 else 0.0
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.total += node.density
 
 
-def blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks under ``node`` in page order; parts of the frame left out."""
+#: How a part is read: looked through for parts above the threshold, kept without its lists of links, kept whole.
+SEARCH, KEEP, WHOLE = range(3)
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
+
+def flows(part: Node | str, path: set[Node]) -> bool:
+    """Text or an inline tag without blocks in it."""
+    if isinstance(part, str):
+        return True
+    return part.tag in INLINE | {"br"} and part not in path and not any(isinstance(c, Node) and c.tag not in INLINE | {"br"} for c in part.parts)
+
+
+def admitted(node: Node, path: set[Node], threshold: float, share: float, marked: bool) -> list[Node | str]:
+    """Parts of a looked-through node; its own text only from the threshold on."""
+    out: list[Node | str] = []
+    for flowing, run in itertools.groupby(node.parts, lambda part: flows(part, path)):
+        parts = list(run)
+        if flowing:
+            tags = [x for x in parts if isinstance(x, Node)]
+            chars = sum(len(SPACE.sub("", x)) if isinstance(x, str) else x.chars for x in parts)
+            sums = [sum(getattr(x, name) for x in tags) for name in ("tags", "link_chars", "link_tags")]
+            if marked or density(chars, sums[0] + len(tags), sums[1], sums[2], share) < threshold:
+                continue
+        out += parts
+    return out
+
+
+def blocks(root: Node, best: Node, threshold: float, marked: bool) -> list[str]:
+    """Texts of the kept blocks in page order; parts of the frame left out."""
     out: list[str] = []
     held: list[str] = []
+    share, path, up = link_share(root), set(), best
+    while up is not None:
+        path.add(up)
+        up = up.parent
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(held)).strip()
@@ -200,9 +243,9 @@ def blocks(node: Node, threshold: float) -> list[str]:
             out.append(text)
 
     # Each entry is a node still to open, a text, or None for the end of a block.
-    stack: list = [node]
+    stack: list = [(root, SEARCH)]
     while stack:
-        part = stack.pop()
+        part, how = stack.pop()
         if part is None:
             flush()
         elif isinstance(part, str):
@@ -211,16 +254,21 @@ def blocks(node: Node, threshold: float) -> list[str]:
             continue
         elif part.tag == "br":
             held.append(" ")
-        elif part.tag in INLINE:
-            stack += reversed(part.parts)
+        elif how == SEARCH and part is not best and flows(part, path):
+            stack += [(x, WHOLE) for x in reversed(part.parts)]
+        elif how != SEARCH and part.tag in INLINE:
+            stack += [(x, how) for x in reversed(part.parts)]
         else:
-            # A list or box of links inside the article falls under the threshold.
-            links = part.link_chars > 0.5 * part.chars and part.density < threshold
             flush()
-            if links and part is not node:
+            if part is best:
+                how = KEEP if best is root else WHOLE
+            elif how == SEARCH and part not in path and part.density >= threshold and (not marked or part.tag in ("article", "main")):
+                how = KEEP
+            elif how == KEEP and part.link_chars > 0.5 * part.chars and part.density < threshold and part.tag not in PARAGRAPHS:
                 continue
-            stack.append(None)
-            stack += reversed(part.parts)
+            stack.append((None, how))
+            parts = admitted(part, path, threshold, share, marked) if how == SEARCH else part.parts
+            stack += [(x, how) for x in reversed(parts)]
     flush()
     return out
 
@@ -247,7 +295,7 @@ def main_text(page: str | None) -> str:
         if up.density:
             threshold = min(threshold, up.density)
         up = up.parent
-    return "\n\n".join(blocks(best, threshold))
+    return "\n\n".join(blocks(nodes[0], best, threshold, best.tag in ("article", "main")))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
