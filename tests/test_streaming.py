@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from voltpanel.operators import scoring
 from voltpanel.plans import jobs
@@ -80,3 +81,17 @@ def test_daily_evaluation_refreshes_only_the_window(spark):
 def test_today_is_taken_where_the_feed_is(spark):
     ny, utc = spark.range(1).select(jobs.today_in(), jobs.today_in("UTC")).first()
     assert (utc - ny).days in (0, 1)
+
+
+def test_every_zone_has_a_forecast_status(spark, monkeypatch):
+    demand = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("d",)], "zone string")
+    split = lambda rows, date: (rows.filter("zone <> 'd'"), rows.filter("zone = 'd'"))
+    names = jobs.INFERENCE_FEATURES
+    full = [1.0] * len(names)
+    rows = [("a", *full), ("b", None, *full[1:])]
+    table = spark.createDataFrame(rows, "zone string, " + ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(jobs, "split_ready", split)
+    monkeypatch.setattr(jobs, "inference_table", lambda *_: table.withColumn("target_date", F.to_date(F.lit("2020-01-04"))))
+    got = {r.zone: (r.status, r.missing) for r in jobs.forecast_status(demand, None, "2020-01-04").collect()}
+    assert got == {"a": ("predicted", []), "b": ("incomplete", [names[0]]), "c": ("incomplete", names), "d": ("held_over", [])}
+    assert jobs.forecast_status(demand, None, "2020-01-04").count() == 4

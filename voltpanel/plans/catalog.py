@@ -710,3 +710,9 @@ def daily_forecast(spark, sf_dir):
     demand, timeline = fx.demand(spark, sf_dir), fx.timeline(spark, sf_dir)
     predictions = jobs.daily_forecast(demand, timeline, model, "2001-08-01", "forest_v1")
     return publish(predictions)
+
+
+@query
+def daily_forecast_status(spark, sf_dir):
+    """What became of each zone in the daily forecast."""
+    return publish(jobs.forecast_status(fx.demand(spark, sf_dir), fx.timeline(spark, sf_dir), "2001-08-01"))

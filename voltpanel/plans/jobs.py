@@ -42,7 +42,8 @@ def daily_forecast(
     """Predictions for one target date.
 
     Zones whose anchor day has not arrived are held over for the next run, and zones with
-    an incomplete row have no prediction; neither stops the others.
+    an incomplete row have no prediction; neither stops the others. ``forecast_status``
+    names both.
     """
     ready, _ = split_ready(demand, target_date)
     inputs = (
@@ -53,6 +54,21 @@ def daily_forecast(
     return prediction_rows(trees.predict_rows(model, inputs, INFERENCE_FEATURES, KEYS), inputs, version)
 
 
+def forecast_status(demand: DataFrame, timeline: DataFrame, target_date: str) -> DataFrame:
+    """One row per zone: predicted, held_over or incomplete, with the features its row misses.
+
+    A zone without any row for the date misses all features.
+    """
+    ready, held = split_ready(demand, target_date)
+    rows = inference_table(ready, timeline).filter(F.col("target_date") == F.to_date(F.lit(target_date)))
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in INFERENCE_FEATURES]))
+    known = ready.select("zone").distinct().join(rows.drop("target_date"), "zone", "left").select("zone", missing.alias("missing"))
+    told = known.select("zone", F.when(F.size("missing") == 0, "predicted").otherwise("incomplete").alias("status"), "missing")
+    none = F.expr("cast(array() as array<string>)")
+    told = told.unionByName(held.select("zone", F.lit("held_over").alias("status"), none.alias("missing")).distinct())
+    return told.select("zone", F.to_date(F.lit(target_date)).alias("target_date"), "status", "missing")
+
+
 def daily_evaluation(
     predictions: DataFrame, demand: DataFrame, stored: DataFrame, today: str, days_back: int = 30
 ) -> tuple[DataFrame, DataFrame]:
