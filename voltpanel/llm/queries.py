@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from voltpanel.llm import (
     decontaminate,
+    hard_negatives,
     html_density,
     lang_backoff,
+    merkle_manifest,
     packing,
     quality_ledger,
     secret_ledger,
     simhash_gray,
+    substring_dedup,
     token_arrow,
     token_counts,
     toxicity_gru,
@@ -160,3 +163,87 @@ def op9_simhash_near_dedup(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity_gru.score(docs, toxicity_gru.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_substring_dedup(spark, sf_dir):
+    rows = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_substring_dedup"] = r"""WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT rid, doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h),
+r AS (SELECT rid, i FROM w JOIN f USING (h) WHERE doc_id > first),
+p AS (SELECT rid, i, words[i] AS word FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+c AS (SELECT p.rid, p.i, word, coalesce(max((r.i IS NOT NULL)::INT) OVER (PARTITION BY p.rid ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM p LEFT JOIN r ON p.rid = r.rid AND p.i = r.i),
+a AS (SELECT rid, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (rid)"""
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = """WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.rid <> b.rid AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.arid, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.arid, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = """WITH RECURSIVE b AS (
+  SELECT row_number() OVER () AS rid, *, coalesce('=' || lang, '') AS tree,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM documents),
+k AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: list_reduce(
+    list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)),
+    4294967295::BIGINT) % 7 = 0 AND n_chars IS NOT NULL AS hit FROM b),
+h AS (SELECT rid, doc_id, tree, hit,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS told,
+    strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) AS changed,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM k),
+l AS (SELECT rid, doc_id, tree, leaf, tampered, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM (SELECT *, sha256(head || told || tail) AS leaf, CASE WHEN hit THEN sha256(head || changed || tail) END AS tampered FROM h)),
+up AS (SELECT tree, 0 AS lvl, place, n, leaf AS node FROM l
+  UNION ALL SELECT tree, lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+  FROM up WHERE n > 1 GROUP BY tree, lvl, place // 2, n),
+t AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n, lvl AS height FROM up WHERE n = 1),
+crown AS (SELECT 0 AS lvl, place, n, node FROM t
+  UNION ALL SELECT lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM crown WHERE n > 1 GROUP BY lvl, place // 2, n),
+g AS (SELECT node AS root, lvl AS height FROM crown WHERE n = 1),
+steps AS (
+  SELECT l.rid, s.lvl, u.node, u.place < l.place >> s.lvl AS leftward
+  FROM l JOIN t USING (tree) JOIN (SELECT unnest(range(64)) AS lvl) s ON s.lvl < t.height
+  LEFT JOIN up u ON u.tree = l.tree AND u.lvl = s.lvl AND u.place = xor(l.place >> s.lvl, 1)
+  UNION ALL
+  SELECT l.rid, t.height + s.lvl, u.node, u.place < t.place >> s.lvl
+  FROM l JOIN t USING (tree) JOIN g ON true JOIN (SELECT unnest(range(64)) AS lvl) s ON s.lvl < g.height
+  LEFT JOIN crown u ON u.lvl = s.lvl AND u.place = xor(t.place >> s.lvl, 1)),
+fold AS (SELECT rid, 0 AS lvl, coalesce(tampered, leaf) AS node FROM l
+  UNION ALL SELECT f.rid, f.lvl + 1, sha256(CASE WHEN s.node IS NULL THEN f.node WHEN s.leftward THEN s.node || f.node ELSE f.node || s.node END)
+  FROM fold f JOIN steps s USING (rid, lvl)),
+p AS (SELECT rid, sha256(coalesce(string_agg(node, '' ORDER BY lvl), '')) AS proof_sha256 FROM l LEFT JOIN steps USING (rid) GROUP BY rid),
+z AS (SELECT rid, arg_max(node, lvl) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, leaf, t.node AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN t USING (tree) JOIN g ON true JOIN p USING (rid) JOIN z USING (rid)"""
