@@ -12,8 +12,9 @@ windows share. Neighbouring windows of one block travel as one context; equal co
 reduced to the one with the smallest id before anything is shipped (all others are repeats
 as a whole), and only blocks with contexts of several documents are parsed. A block indexes
 its contexts in a suffix automaton, in the order of ids. A block with more than ``CROWD``
-different contexts is not parsed in one task: its windows are compared by their own hashes,
-which Spark can combine and spread.
+different contexts is not parsed in one task: its windows are grouped anew by longer runs,
+which sets most of them apart, and the rest are compared by their own hashes, which Spark can
+combine and spread.
 
 Words and windows are compared by 64-bit hashes. Defined results: a null or blank text has
 no words; rows with equal ids are not smaller than each other; a row without an id is kept
@@ -34,6 +35,8 @@ from voltpanel.llm.common import column, slices
 from voltpanel.session import materialised
 
 WINDOW, GRAM = 50, 10
+#: Words of the runs that group the windows of crowded blocks.
+FINE_GRAM = 40
 #: Windows of a context at most; bounds a block's members whatever repeats in a text.
 RUN = 64
 #: Contexts that one block's automaton takes.
@@ -78,18 +81,19 @@ class Sequence:
         return mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
 
-def contexts(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(hashes: np.ndarray, sizes: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """text number, block, content, start and window count of the contexts of many texts.
 
-    ``hashes`` are the texts' words one after another, ``sizes`` the texts' word counts.
+    ``hashes`` are the texts' words one after another, ``sizes`` the texts' word counts; a
+    block is the least hash of the ``gram``-word runs in a window.
     """
     empty = np.empty(0, np.int64)
     if len(hashes) < WINDOW:
         return empty, empty, empty, empty, empty
     sequence = Sequence(hashes)
-    at = np.arange(len(hashes) - GRAM + 1)
-    least = sequence.runs(at, at + GRAM)
-    span, width = WINDOW - GRAM + 1, 1
+    at = np.arange(len(hashes) - gram + 1)
+    least = sequence.runs(at, at + gram)
+    span, width = WINDOW - gram + 1, 1
     while 2 * width <= span:  # least of 2, 4, 8, ... neighbours
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     rest = span - width
@@ -240,24 +244,44 @@ def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPAN_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
 
-def crowded_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the contexts: block, hash of the window, document, context and place."""
+def finer_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of crowded contexts, grouped anew by their least ``FINE_GRAM``-word hash:
+    block, content, document, that hash, the first window's place and the windows' hashes."""
     for batch in slices(batches, 1024):
         block, content, doc, words = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "content", "doc_id", "words"))
         sizes = np.diff(words.offsets.to_numpy())
         hashes = words.flatten().to_numpy().view(np.uint64)
-        firsts, n = np.cumsum(sizes) - sizes, sizes - WINDOW + 1
-        row = np.repeat(np.arange(len(sizes)), n)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = firsts[row] + place
+        row, fine, _, place, n = contexts(hashes, sizes, FINE_GRAM)
+        firsts, stops = np.cumsum(sizes) - sizes, np.cumsum(n)
+        start = np.repeat(firsts[row] + place - (stops - n), n) + np.arange(n.sum())
         keys = Sequence(hashes).runs(start, start + WINDOW).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(keys))
         taken = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [block.take(taken), content.take(taken), doc.take(taken), pa.array(keys), pa.array(place.astype(np.int32))],
-            ["block", "content", "doc_id", "window", "place"],
+            [block.take(taken), content.take(taken), doc.take(taken), pa.array(fine), pa.array(place.astype(np.int32)), lists],
+            ["block", "content", "doc_id", "fine", "place", "windows"],
         )
 
 
+FINER = "block bigint, content bigint, doc_id bigint, fine bigint, place int, windows array<bigint>"
+
+
+def crowded_spans(words: DataFrame) -> DataFrame:
+    """Spans of crowded blocks' contexts, by the windows' own hashes.
+
+    Most windows that only reach into a common passage hold a long run of words that no other
+    document has; grouped by such runs they fall away before single windows are shipped.
+    """
+    finer = materialised(words.mapInArrow(finer_runs, FINER), "finer-runs")
+    ends = finer.groupBy("block", "fine").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
+    shared = finer.join(ends.filter(F.col("_a") < F.col("_b")).select("block", "fine"), ["block", "fine"])
+    windows = shared.select("block", "content", "doc_id", "place", F.posexplode("windows").alias("_at", "window"))
+    firsts = windows.groupBy("block", "window").agg(F.min("doc_id").alias("_first"))
+    later = windows.join(firsts, ["block", "window"]).filter(F.col("doc_id") > F.col("_first"))
+    start = F.col("place") + F.col("_at")
+    return later.groupBy("block", "content").agg(F.collect_set(F.struct(start.alias("start"), (start + WINDOW).alias("stop"))).alias("spans"))
+
+
 def context_words(needed: DataFrame, docs: DataFrame) -> DataFrame:
     """The word hashes of contexts, taken out of their documents' texts."""
     wanted = needed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("block", "content", "start", "n", "crowded")).alias("wanted"))
@@ -297,11 +321,7 @@ def context_spans(members: DataFrame, docs: DataFrame, crowd: int = CROWD) -> Da
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = words.filter("not crowded").drop("crowded").repartition(tasks, "block").sortWithinPartitions("block", "doc_id")
     parsed = plain.mapInArrow(parse_blocks, SPANS)
-    windows = words.filter("crowded").mapInArrow(crowded_windows, "block bigint, content bigint, doc_id bigint, window bigint, place int")
-    firsts = windows.groupBy("block", "window").agg(F.min("doc_id").alias("_first"))
-    later = windows.join(firsts, ["block", "window"]).filter(F.col("doc_id") > F.col("_first"))
-    place = F.struct(F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
-    met = later.groupBy("block", "content").agg(F.collect_set(place).alias("spans"))
+    met = crowded_spans(words.filter("crowded"))
     spans = materialised(parsed.unionByName(met), "context-spans")
     whole = distinct.filter(F.col("doc_id") < F.col("last")).select("block", "content", F.col("doc_id").alias("first"))
     known = spans.join(distinct.select("block", "content", F.col("doc_id").alias("_own")), ["block", "content"])
