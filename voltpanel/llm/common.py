@@ -39,16 +39,20 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def worker_state(key: str, build):
+def worker_state(kind: str, key: str, build):
     """An object built once per Python worker process and kept between its tasks.
 
     Task functions travel by value, so their module globals do not outlive a task; the
-    state hangs on a module entry of the process instead.
+    state hangs on a module entry of the process instead. Each kind has one slot: another
+    key's object replaces the one before, so workers that are reused do not gather models.
     """
     home = sys.modules.setdefault("voltpanel_worker_state", types.ModuleType("voltpanel_worker_state"))
-    if key not in home.__dict__:
-        home.__dict__[key] = build()
-    return home.__dict__[key]
+    held = home.__dict__.get(kind)
+    if held is None or held[0] != key:
+        home.__dict__.pop(kind, None)
+        del held  # before the next one is built
+        held = home.__dict__[kind] = (key, build())
+    return held[1]
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from voltpanel.llm.common import column, remainder, slices, worker_state
 from voltpanel.llm.tokenizing import PieceCache
+from voltpanel.session import materialised
 
 #: Bound of the labelled documents that the fit reads.
 TRAIN_DOCS = 20_000
@@ -37,6 +38,8 @@ HELD_OUT = (4, 2)
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 150_000
+#: Distinct words that a task of the fit counts before it hands its counts on.
+TASK_WORDS = 50_000
 SMOOTH = 0.5
 
 
@@ -60,54 +63,68 @@ def frequencies(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]):
         seen: dict[str, Counter] = defaultdict(Counter)
+
+        def told(lang: str, n: int, counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([lang] * len(counts), pa.string()),
+                    "n": pa.array([n] * len(counts), pa.int32()),
+                    "gram": pa.array(list(counts), pa.string()),
+                    "count": pa.array(list(counts.values()), pa.int64()),
+                }
+            )
+
+        def hand_on():
+            for lang, words in seen.items():
+                yield told(lang, 0, words)
+                for n in range(1, LONGEST + 1):
+                    counts: Counter = Counter()
+                    for word, times in words.items():
+                        for gram in grams(word, n):
+                            counts[gram] += times
+                    yield told(lang, n, counts)
+            seen.clear()
+
         for batch in slices(batches):
             for text, lang in zip(column(batch, "text"), column(batch, "lang")):
                 seen[lang].update(LETTERS.findall(text.lower()))
-        for lang, words in seen.items():
-            by_length: list[Counter] = [words, *(Counter() for _ in range(LONGEST))]
-            for word, times in words.items():
-                for n in range(1, LONGEST + 1):
-                    for gram in grams(word, n):
-                        by_length[n][gram] += times
-            for n, counts in enumerate(by_length):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": pa.array([lang] * len(counts), pa.string()),
-                        "n": pa.array([n] * len(counts), pa.int32()),
-                        "gram": pa.array(list(counts), pa.string()),
-                        "count": pa.array(list(counts.values()), pa.int64()),
-                    }
-                )
+            if sum(map(len, seen.values())) > TASK_WORDS:
+                yield from hand_on()
+        yield from hand_on()
 
     counted = rows.mapInArrow(count, "lang string, n int, gram string, count bigint")
-    total = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    kept = total.withColumn("place", F.row_number().over(order))
-    return kept.filter(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "gram", "count")
+    total = materialised(counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "gram-counts")
+    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
+    # Literal limits, so that each side's shuffle carries no more rows than they keep.
+    kept = [total.filter(side).withColumn("place", place).filter(F.col("place") <= most) for side, most in (("n = 0", WORDS), ("n > 0", GRAMS))]
+    return kept[0].unionByName(kept[1]).select("lang", "n", "gram", "count")
 
 
 class Model:
-    """Log frequencies per word and n-gram, one number per language."""
+    """Log frequencies, one number per language: a matrix for the words and one for the
+    n-grams of each length, with the row of each."""
 
     def __init__(self, rows: list[tuple]):
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, n, gram, _ in rows:
+            self.rows[n].setdefault(gram, len(self.rows[n]))
+        counts = [np.zeros((len(known), len(self.langs))) for known in self.rows]
         for lang, n, gram, times in rows:
-            counts[n].setdefault(gram, np.zeros(len(self.langs), np.float64))[at[lang]] = times
-        self.tables = []
-        for table in counts:
-            total = sum(table.values(), np.zeros(len(self.langs))) + SMOOTH * max(1, len(table))
-            self.tables.append({g: np.log((c + SMOOTH) / total).astype(np.float32) for g, c in table.items()})
+            counts[n][self.rows[n][gram], at[lang]] = times
+        self.tables = [
+            np.log((c + SMOOTH) / (c.sum(axis=0) + SMOOTH * max(1, len(c)))).astype(np.float32) for c in counts
+        ]
 
     def word(self, word: str) -> bytes:
-        known = self.tables[0].get(word)
+        known = self.rows[0].get(word)
         if known is not None:
-            return known.tobytes()
+            return self.tables[0][known].tobytes()
         for n in range(LONGEST, 0, -1):
-            seen = [v for v in map(self.tables[n].get, grams(word, n)) if v is not None]
+            seen = [r for r in map(self.rows[n].get, grams(word, n)) if r is not None]
             if seen:
-                return np.mean(seen, axis=0, dtype=np.float32).tobytes()
+                return self.tables[n][seen].mean(axis=0, dtype=np.float32).tobytes()
         return np.zeros(len(self.langs), np.float32).tobytes()
 
 
@@ -143,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     modulus, held = HELD_OUT
 
     def run(batches: Iterator[pa.RecordBatch]):
-        scorer = worker_state(f"lang-{key}", lambda: Scorer(shared.value))
+        scorer = worker_state("lang", key, lambda: Scorer(shared.value))
         for batch in slices(batches):
             answers = scorer.predict(column(batch, "text"))
             yield pa.RecordBatch.from_arrays(

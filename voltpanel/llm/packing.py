@@ -211,7 +211,7 @@ def cut_pieces(docs: DataFrame, name: str = TOKENIZER, path: str | None = None,
     """doc_id, piece, start, length, ids_crc32: every document's ids in pieces of at most ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        encoder = worker_state(f"ids-{name}-{path}", lambda: TextEncoder(name, path))
+        encoder = worker_state("ids", f"{name}-{path}", lambda: TextEncoder(name, path))
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows: list[tuple] = []

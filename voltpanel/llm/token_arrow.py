@@ -124,7 +124,7 @@ def encode_documents(docs: DataFrame, cuts: list[int], name: str, path: str | No
     """part, doc_id, ids (little-endian 16-bit): ``cuts`` are the first ids of parts 1, 2, ..."""
 
     def encode(batches: Iterator[pa.RecordBatch]):
-        encoder = worker_state(f"ids16-{name}-{path}", lambda: TextEncoder(name, path, dtype="<u2"))
+        encoder = worker_state("ids16", f"{name}-{path}", lambda: TextEncoder(name, path, dtype="<u2"))
         end = np.array([end_id], "<u2").tobytes()
         for batch in slices(batches):
             ids = [x + end for x in encoder.encode([t or "" for t in column(batch, "text")])]

@@ -35,7 +35,7 @@ LIMIT = 1024
 
 
 def _counter(name: str, path: str | None, key: str, known: dict | None) -> TextCounter:
-    return worker_state(f"count-{name}-{path}-{key}", lambda: TextCounter(name, path, known))
+    return worker_state("count", f"{name}-{path}-{key}", lambda: TextCounter(name, path, known))
 
 
 def frequent_words(docs: DataFrame, entries: int = TABLE_ENTRIES) -> list[str]:

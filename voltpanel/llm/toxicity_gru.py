@@ -364,7 +364,7 @@ def _scored(rows: DataFrame, network: Network, names: list[str], extra: list[pa.
     shared, key = rows.sparkSession.sparkContext.broadcast(network), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]):
-        scorer = worker_state(f"toxicity-{key}", lambda: Scorer(shared.value))
+        scorer = worker_state("toxicity", key, lambda: Scorer(shared.value))
         for batch in slices(batches):
             texts = column(batch, "text")
             values = scorer.scores(texts) if calibrated else scorer.logits(texts)
