@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voltpanel.operators import linear, moments, scoring, splits, trees
+from voltpanel.operators import boosting, linear, moments, scoring, splits, trees
 from voltpanel.plans import catalog
 from voltpanel.sinks import models as artefacts
 
@@ -188,12 +188,13 @@ def test_registered_searches_try_all_points(monkeypatch):
     tried = []
     monkeypatch.setattr(catalog, "_model_rows", lambda *_: None)
     monkeypatch.setattr(catalog, "_train", lambda rows: rows)
-    monkeypatch.setattr(trees, "search", lambda train, features, kind, points: tried.append((kind, points)) or 1 / 0)
-    for name in ("rf_grid", "gbt_search", "tree_importance"):
+    monkeypatch.setattr(boosting, "staged_search", lambda train, features, points: tried.append(points) or 1 / 0)
+    for name in ("gbt_grid", "gbt_search", "leaf_wise_search"):
         with pytest.raises(ZeroDivisionError):
             catalog.QUERIES[name](None, None)
-    forest, boosted = trees.grid_points(trees.FOREST_GRID), trees.random_points(trees.BOOSTED_RANDOM)
-    assert tried == [("forest", forest), ("boosted", boosted), ("forest", forest)]
+    assert [len(points) for points in tried] == [48, 75, 75]
+    assert tried[1] == boosting.depth_points(trees.random_points(trees.BOOSTED_RANDOM))
+    assert len(trees.grid_points(boosting.LEAF_GRID)) == 62_208
 
 
 def test_grids():

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType
 
 from voltpanel.functions import half_even
 from voltpanel.operators import (
+    boosting,
     explore,
     features,
+    forest,
     impute,
     keyed,
     linear,
@@ -36,7 +38,8 @@ from voltpanel.schemas import (
     THERMAL_COLUMNS,
     WEATHER_READINGS,
 )
-from voltpanel.session import materialised, scratch_path
+from voltpanel.session import materialised, scratch_path, stored
+from voltpanel.sinks import models as artefacts
 from voltpanel.sinks.tables import read_monthly_table
 from voltpanel.sources import feeds
 from voltpanel.streaming import ingest
@@ -616,56 +619,104 @@ def forward_selection(spark, sf_dir):
     return publish(linear.forward_selection(train, INFERENCE_FEATURES), 3)
 
 
-# Every point of the forest grid and the drawn points of the boosted one cost a fit per fold;
-# the README gives what single fits take.
 FOREST_POINTS = trees.grid_points(trees.FOREST_GRID)
-BOOSTED_POINTS = trees.random_points(trees.BOOSTED_RANDOM)
+POINT = ["num_trees", "max_depth", "min_leaf", "share"]
 
 
-def _search_report(spark, sf_dir, kind, points) -> DataFrame:
-    results = trees.search(_train(_model_rows(spark, sf_dir)), INFERENCE_FEATURES, kind, points)
-    rows = [
-        (place, str(sorted(r["params"].items())), float(r["cv_mae"]), r["folds_used"]) for place, r in enumerate(results, 1)
-    ]
-    return spark.createDataFrame(rows, "place int, params string, cv_mae double, folds_used int")
+def _forest_points(rows: DataFrame) -> DataFrame:
+    """Every zone's error at every grid point, searched once per training table."""
+
+    def search(train):
+        return forest.by_point(forest.nested_search(train, INFERENCE_FEATURES, trees.FOREST_GRID))
+
+    return stored(_train(rows).select("zone", "period", "block", "target", *INFERENCE_FEATURES), "forest-points", search)
 
 
 @query
 def rf_grid(spark, sf_dir):
-    return _search_report(spark, sf_dir, "forest", FOREST_POINTS)
+    """The 108 points of the forest grid, best first, by the mean of the zones' CV MAE."""
+    points = _forest_points(_model_rows(spark, sf_dir)).groupBy(*POINT)
+    points = points.agg(F.avg("cv_mae").alias("cv_mae"), F.count("cv_mae").alias("zones"), F.min("folds_used").alias("folds_used"))
+    return publish(points.withColumn("place", F.row_number().over(Window.orderBy("cv_mae", *POINT))))
+
+
+@query
+def rf_winners(spark, sf_dir):
+    """Each zone's best forest point."""
+    return publish(forest.winners(_forest_points(_model_rows(spark, sf_dir))))
+
+
+def _boosted_report(spark, sf_dir, points: list) -> DataFrame:
+    """The points, best first, by the mean of the zones' CV MAE."""
+    scores = boosting.search_points(boosting.staged_search(_train(_model_rows(spark, sf_dir)), INFERENCE_FEATURES, points))
+    told = scores.groupBy("point").agg(F.avg("cv_mae").alias("cv_mae"), F.count("cv_mae").alias("zones"), F.min("folds_used").alias("folds_used"))
+    names = spark.createDataFrame([(n, p.text()) for n, p in enumerate(points)], "point int, params string")
+    place = F.row_number().over(Window.orderBy("cv_mae", "point"))
+    return publish(told.join(F.broadcast(names), "point").withColumn("place", place).drop("point"))
+
+
+@query
+def gbt_grid(spark, sf_dir):
+    """The 48 points of the boosted grid."""
+    return _boosted_report(spark, sf_dir, boosting.depth_points(trees.grid_points(trees.BOOSTED_GRID)))
 
 
 @query
 def gbt_search(spark, sf_dir):
-    return _search_report(spark, sf_dir, "boosted", BOOSTED_POINTS)
+    """75 points drawn from the depth-limited grid."""
+    return _boosted_report(spark, sf_dir, boosting.depth_points(trees.random_points(trees.BOOSTED_RANDOM)))
+
 
+@query
+def leaf_wise_search(spark, sf_dir):
+    """75 points drawn from the leaf-wise learner's grid, with L1 and L2."""
+    return _boosted_report(spark, sf_dir, boosting.leaf_points(trees.random_points(boosting.LEAF_GRID)))
+
+
+# The early-stopped fit.
+EARLY = boosting.Point(rounds=1000, rate=0.05, leaves=None, max_depth=5, min_rows=1, row_share=0.8, column_share=0.8)
+PATIENCE = 30
+
+
+@query
+def gbt_early_stop(spark, sf_dir):
+    """Where each zone's boosting stops once 30 rounds have not improved on the validation rows."""
+    rows = _model_rows(spark, sf_dir)
+    train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
+    return publish(boosting.early_stop(boosting.learning_curve(train, val, INFERENCE_FEATURES, EARLY, patience=PATIENCE), PATIENCE))
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("split").isin("train", "val"))
 
-def _final_model(rows: DataFrame):
-    """The winner of the search over the training folds, refitted on train and validation rows."""
-    winner = trees.search(_train(rows), INFERENCE_FEATURES, "forest", FOREST_POINTS)[0]["params"]
-    known = rows.filter(F.col("split").isin("train", "val"))
-    return trees.fit_final(known, INFERENCE_FEATURES, "forest", winner)
+
+def _final_trees(rows: DataFrame) -> DataFrame:
+    """Each zone's winning forest refitted on train and validation rows, fitted once per table."""
+    chosen = forest.winners(_forest_points(rows))
+    known = _known(rows).select("zone", "period", "target", *INFERENCE_FEATURES)
+    return stored(known, "forest-trees", lambda known: forest.fit_forests(known, chosen, INFERENCE_FEATURES))
 
 
 @query
 def refit_final(spark, sf_dir):
-    """Model refitted on train and validation rows, judged on the test rows."""
+    """Forests refitted on train and validation rows, judged on the test rows."""
     rows = _model_rows(spark, sf_dir)
     test = rows.filter(F.col("split") == "test")
-    predicted = _final_model(rows).transform(test).withColumnRenamed("target", "actual")
-    return publish(scoring.offline_metrics(predicted, ["zone"]))
+    predicted = forest.predict_forests(_final_trees(rows), test, INFERENCE_FEATURES, ["zone", "period", "target"])
+    renamed = predicted.withColumnsRenamed({"target": "actual", "predicted_demand": "predicted"})
+    return publish(scoring.offline_metrics(renamed, ["zone"]))
 
 
 @query
 def tree_importance(spark, sf_dir):
-    return publish(trees.feature_importance(spark, _final_model(_model_rows(spark, sf_dir)), INFERENCE_FEATURES))
+    return publish(forest.importance(_final_trees(_model_rows(spark, sf_dir)), INFERENCE_FEATURES))
 
 
 @query
 def predict_batch(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     inputs = rows.filter(F.col("split") == "test").select("zone", "period", *INFERENCE_FEATURES)
-    return publish(trees.predict_rows(_final_model(rows), inputs, INFERENCE_FEATURES, ["zone", "period"]))
+    return publish(forest.predict_rows(_final_trees(rows), inputs, INFERENCE_FEATURES, ["zone", "period"]))
 
 
 # --- daily jobs ------------------------------------------------------------------------
@@ -706,7 +757,15 @@ def daily_evaluation(spark, sf_dir):
 
 @query
 def daily_forecast(spark, sf_dir):
-    model = _final_model(_model_rows(spark, sf_dir))
+    rows = _model_rows(spark, sf_dir)
+    model, path = _final_trees(rows), scratch_path(spark, "forest-v1")
+    chosen, ranked = forest.winners(_forest_points(rows)), forest.importance(model, INFERENCE_FEATURES)
+    chosen.write.parquet(f"{path}/params")
+    mean = chosen.agg(F.avg("cv_mae")).first()[0]
+    artefacts.save_model(
+        spark, model, path, INFERENCE_FEATURES, {"cv_mae": mean}, {"table": "params"}, _known(rows).count(), fx.TRAIN_END, fx.VAL_END, ranked
+    )
+    model = artefacts.load_trees(spark, path)
     demand, timeline = fx.demand(spark, sf_dir), fx.timeline(spark, sf_dir)
     predictions = jobs.daily_forecast(demand, timeline, model, "2001-08-01", "forest_v1")
     return publish(predictions)

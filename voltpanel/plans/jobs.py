@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltpanel.operators import live, scoring, trees
+from voltpanel.operators import forest, live, scoring
 from voltpanel.operators.features import live_demand_features
 from voltpanel.operators.keyed import upsert
 from voltpanel.operators.validate import split_ready
@@ -37,9 +36,9 @@ def prediction_rows(predicted: DataFrame, inputs: DataFrame, version: str) -> Da
 
 
 def daily_forecast(
-    demand: DataFrame, timeline: DataFrame, model: PipelineModel, target_date: str, version: str
+    demand: DataFrame, timeline: DataFrame, model: DataFrame, target_date: str, version: str
 ) -> DataFrame:
-    """Predictions for one target date.
+    """Predictions for one target date by the zones' forests (``sinks.models.load_trees``).
 
     Zones whose anchor day has not arrived are held over for the next run, and zones with
     an incomplete row have no prediction; neither stops the others. ``forecast_status``
@@ -51,7 +50,7 @@ def daily_forecast(
         .filter(F.col("target_date") == F.to_date(F.lit(target_date)))
         .dropna(subset=INFERENCE_FEATURES)
     )
-    return prediction_rows(trees.predict_rows(model, inputs, INFERENCE_FEATURES, KEYS), inputs, version)
+    return prediction_rows(forest.predict_rows(model, inputs, INFERENCE_FEATURES, KEYS), inputs, version)
 
 
 def forecast_status(demand: DataFrame, timeline: DataFrame, target_date: str) -> DataFrame:

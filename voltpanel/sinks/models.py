@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def save_model(
     spark: SparkSession,
-    model: PipelineModel,
+    model: PipelineModel | DataFrame,
     path: str,
     features: list[str],
     val_metrics: dict,
@@ -32,7 +32,10 @@ def save_model(
         "best_params": params,
         "final_fit_rows": fit_rows,
     }
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, DataFrame):  # a table of trees
+        model.write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/meta"
     )
@@ -43,5 +46,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
 
 
+def load_trees(spark: SparkSession, path: str) -> DataFrame:
+    """The table of trees that ``save_model`` wrote."""
+    return spark.read.parquet(f"{path}/model")
+
+
 def load_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta").first().value)
