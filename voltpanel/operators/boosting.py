@@ -194,26 +194,35 @@ class Fits:
             right = self.codes[row, f[which]] > c[which]
             leaf[fit[which[right]], row[right]] = new
             # Count the smaller side; the other is what remains of the parent.
-            k = np.arange(len(fit))
-            count = held[fit, old, 1, f]
-            smaller_right = 2 * (count @ UP_TO)[k, c] > count.sum(axis=1)
-            counted = (right == smaller_right[which]) & bag[fit[which], row]
-            small = self._histograms(which[counted], row[counted], len(fit), error[fit[which[counted]], row[counted]])
-            both = np.empty((2 * len(fit), *small.shape[1:]), np.float32)
-            near, far = np.where(smaller_right, k + len(fit), k), np.where(smaller_right, k, k + len(fit))
-            both[near] = small
-            both[far] = held[fit, old] - small
-            held[fit, old], held[fit, new] = both[: len(fit)], both[len(fit) :]
             depth[fit, new] = depth[fit, old] = depth[fit, old] + 1
-            found = self._best(both, np.concatenate([fit, fit]), columns)
-            deep = depth[fit, old] >= self.max_depth[fit]
+            gain[fit, old] = -np.inf
+            # Only children that may be split again are counted.
+            k, count = np.arange(len(fit)), held[fit, old, 1, f]
+            total, lefts = count.sum(axis=1), (count @ UP_TO)[k, c]
+            may = (new + 1 < self.leaves[fit]) & (depth[fit, old] < self.max_depth[fit])
+            may &= np.maximum(lefts, total - lefts) >= 2 * self.least[fit, 0, 0]
+            # The smaller side is counted; the other is what remains of the parent.
+            smaller_right = 2 * lefts > total
+            counted = may[which] & (right == smaller_right[which]) & bag[fit[which], row]
+            order, which, row = np.cumsum(may) - 1, which[counted], row[counted]
+            owner, old, smaller_right = fit[may], old[may], smaller_right[may]
+            if not len(owner):
+                continue
+            small = self._histograms(order[which], row, len(owner), error[fit[which], row])
+            k, both = np.arange(len(owner)), np.empty((2 * len(owner), *small.shape[1:]), np.float32)
+            both[k + len(owner) * smaller_right] = small
+            both[k + len(owner) * ~smaller_right] = held[owner, old] - small
+            held[owner, old], held[owner, new] = both[: len(owner)], both[len(owner) :]
+            found = self._best(both, np.concatenate([owner, owner]), columns)
             for values, part in zip((gain, feature, cut), found):
-                values[fit, old], values[fit, new] = part[: len(fit)], part[len(fit) :]
-            gain[fit[deep], old[deep]] = gain[fit[deep], new] = -np.inf
-        total = held[:, :, :, 0].sum(axis=3)
+                values[owner, old], values[owner, new] = part[: len(owner)], part[len(owner) :]
+        fit, row = bag.nonzero()
+        place = fit * most + leaf[fit, row]
+        total = np.bincount(place, error[fit, row], n * most).reshape(n, most)
+        count = np.bincount(place, minlength=n * most).reshape(n, most)
         l1, l2 = self.l1[:, :, 0], self.l2[:, :, 0]
-        self.value = -self.rate[:, None] * np.sign(total[:, :, 0]) * np.maximum(np.abs(total[:, :, 0]) - l1, 0) * self.scale
-        self.value /= np.maximum(total[:, :, 1] + l2, 1e-6)
+        self.value = -self.rate[:, None] * np.sign(total) * np.maximum(np.abs(total) - l1, 0) * self.scale
+        self.value /= np.maximum(count + l2, 1e-6)
         self.predicted += self.value[every[:, None], leaf]
         return splits
 
