@@ -1,7 +1,7 @@
 """Leaf-wise histogram boosting per zone: staged errors, L1/L2, early stopping.
 
 Features are binned once. A tree grows by splitting, again and again, the leaf with the
-greatest gain, until it has its number of leaves; a leaf's histograms are its parent's minus
+greatest gain, until it has its number of leaves (or, without such a limit, all leaves that gain); a leaf's histograms are its parent's minus
 its sibling's. Many fits of one zone (points of a search, folds) grow side by side, one split
 of each at a time, so the work is done on whole arrays.
 
@@ -64,8 +64,8 @@ class Point:
     min_gain: float = 0.0
 
     def most_leaves(self) -> int:
-        by_depth = 1 << self.max_depth if 0 <= self.max_depth < 12 else 1 << 12
-        return min(self.leaves or 1 << 12, by_depth)
+        by_depth = 1 << self.max_depth if 0 <= self.max_depth < 16 else 1 << 16
+        return min(self.leaves or 1 << 16, by_depth)
 
     def text(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -113,6 +113,7 @@ class Fits:
         self.min_gain, self.row_share, self.column_share = map(column, ("min_gain", "row_share", "column_share"))
         self.max_depth = np.array([p.max_depth if p.max_depth >= 0 else 1 << 30 for p in points])
         self.leaves = np.array([p.most_leaves() for p in points])
+        self.free = np.array([[p.leaves is None] for p in points])
         self.base = (train * y).sum(axis=1) / train.sum(axis=1)
         self.predicted = np.repeat(self.base[:, None], self.n_rows, axis=1)
         self.scale = max(1e-9, float(np.abs(y - y.mean()).mean()))  # sums stay small enough for single precision
@@ -176,39 +177,49 @@ class Fits:
         fit, row = bag.nonzero()
         held[:, 0] = self._histograms(fit, row, n, error[fit, row])
         gain[:, 0], feature[:, 0], cut[:, 0] = self._best(held[:, 0], every, columns)
-        splits = []
-        for new in range(1, most):
-            parent = gain.argmax(axis=1)
-            fit = np.flatnonzero((gain[every, parent] > -np.inf) & (new < self.leaves) & (depth[every, parent] < self.max_depth))
+        splits, used = [], np.ones(n, int)
+        while True:
+            # Without a limit on leaves every good split is made in the end, so all are made at
+            # once; with one it is the leaf with the greatest gain, one after another.
+            good = (gain > -np.inf) & (self.free | (gain == gain.max(axis=1, keepdims=True)))
+            good[used >= self.leaves] = False
+            fit, old = good.nonzero()
+            first = np.concatenate([[True], fit[1:] != fit[:-1]]) if len(fit) else np.empty(0, bool)
+            lead = self.free[fit, 0] | first  # of equal gains the first leaf
+            fit, old, first = fit[lead], old[lead], first[lead]
             if not len(fit):
                 break
-            if new == room:  # larger trees than expected
-                room = min(most, 2 * room)
-                grown = lambda a, fill: np.concatenate([a, np.full((n, room - new), fill, a.dtype)], axis=1)
-                held = np.concatenate([held, np.zeros((n, room - new, 2, self.n_features, BINS), np.float32)], axis=1)
-                gain, feature, cut, depth = grown(gain, -np.inf), grown(feature, 0), grown(cut, 0), grown(depth, 0)
-            old = parent[fit]
+            new = used[fit] + np.arange(len(fit)) - np.maximum.accumulate(np.where(first, np.arange(len(fit)), 0))
+            used += np.bincount(fit, minlength=n)
+            if used.max() > room:  # larger trees than expected
+                more = min(most, max(2 * room, int(used.max()))) - room
+                grown = lambda a, fill: np.concatenate([a, np.full((n, more), fill, a.dtype)], axis=1)
+                held = np.concatenate([held, np.zeros((n, more, 2, self.n_features, BINS), np.float32)], axis=1)
+                gain, feature, cut, depth, room = grown(gain, -np.inf), grown(feature, 0), grown(cut, 0), grown(depth, 0), room + more
             f, c = feature[fit, old], cut[fit, old]
             splits.append((fit, old, f, c, gain[fit, old]))
-            which, row = (leaf[fit] == old[:, None]).nonzero()
+            pair = np.full((n, room), -1)
+            pair[fit, old] = np.arange(len(fit))
+            which = pair[every[:, None], leaf]
+            at, row = (which >= 0).nonzero()
+            which = which[at, row]
             right = self.codes[row, f[which]] > c[which]
-            leaf[fit[which[right]], row[right]] = new
-            # Count the smaller side; the other is what remains of the parent.
+            leaf[at[right], row[right]] = new[which[right]]
             depth[fit, new] = depth[fit, old] = depth[fit, old] + 1
             gain[fit, old] = -np.inf
             # Only children that may be split again are counted.
             k, count = np.arange(len(fit)), held[fit, old, 1, f]
             total, lefts = count.sum(axis=1), (count @ UP_TO)[k, c]
-            may = (new + 1 < self.leaves[fit]) & (depth[fit, old] < self.max_depth[fit])
+            may = (used < self.leaves)[fit] & (depth[fit, old] < self.max_depth[fit])
             may &= np.maximum(lefts, total - lefts) >= 2 * self.least[fit, 0, 0]
             # The smaller side is counted; the other is what remains of the parent.
             smaller_right = 2 * lefts > total
-            counted = may[which] & (right == smaller_right[which]) & bag[fit[which], row]
-            order, which, row = np.cumsum(may) - 1, which[counted], row[counted]
-            owner, old, smaller_right = fit[may], old[may], smaller_right[may]
+            counted = may[which] & (right == smaller_right[which]) & bag[at, row]
+            order, which, at, row = np.cumsum(may) - 1, which[counted], at[counted], row[counted]
+            owner, old, new, smaller_right = fit[may], old[may], new[may], smaller_right[may]
             if not len(owner):
                 continue
-            small = self._histograms(order[which], row, len(owner), error[fit[which], row])
+            small = self._histograms(order[which], row, len(owner), error[at, row])
             k, both = np.arange(len(owner)), np.empty((2 * len(owner), *small.shape[1:]), np.float32)
             both[k + len(owner) * smaller_right] = small
             both[k + len(owner) * ~smaller_right] = held[owner, old] - small
@@ -358,7 +369,7 @@ def fit_boosted(rows: DataFrame, chosen: DataFrame, features: list[str], target:
             fit = Fits(binned(x, cuts), y, np.ones((1, len(y)), bool), [p], zlib.crc32(zone.encode()))
             out.append((zone, 0, [], [], [], [], [float(fit.base[0])]))
             for tree in range(1, p.rounds + 1):
-                splits = [tuple(float(a[0]) for a in s[1:]) for s in fit.grow()]
+                splits = [tuple(map(float, one)) for _, *columns in fit.grow() for one in zip(*columns)]
                 leaf, feature, cut, gain = zip(*splits) if splits else ((),) * 4
                 feature = [int(f) for f in feature]
                 limit = [float(cuts[f][int(c)]) for f, c in zip(feature, cut)]
