@@ -38,6 +38,10 @@ def time_series_folds(n, k=5):
     return [(range(0, start), range(start, start + size)) for start in range(n - k * size, n, size)]
 
 
+def linear_blocks(n):
+    return np.repeat(np.arange(6), [n - 5 * (n // 6)] + 5 * [n // 6])
+
+
 def ridge(x, y, alpha):
     xm, ym = x.mean(axis=0), y.mean()
     w = np.linalg.solve((x - xm).T @ (x - xm) + alpha * np.eye(x.shape[1]), (x - xm).T @ (y - ym))
@@ -184,6 +188,28 @@ def test_forward_selection_stops_when_the_mae_does(train, zones):
         assert got[got.zone == zone].sort_values("step")["cv_mae"].tolist() == pytest.approx(mae[:stop])
 
 
+def test_forward_selection_with_columns_that_add_nothing(spark, zones):
+    frame = zones["p"].assign(block=linear_blocks(N), e=lambda f: f["a"] + f["b"], f=lambda f: f["a"], k=7.0)
+    frame.loc[frame.index[3], "c"] = np.nan
+    rows = spark.createDataFrame(frame).replace(float("nan"), None)
+    names = FEATURES + ["e", "f", "k"]
+    got = linear.forward_selection(rows, names, steps=len(names)).orderBy("step").toPandas()
+    assert sorted(got["feature"]) == sorted(names) and got["step"].tolist() == list(range(1, 8))
+    chosen = got["feature"].tolist()
+    full = frame.dropna()
+    x, y, block = full[names], full["target"].to_numpy(), full["block"].to_numpy()
+    for step in range(1, 8):
+        use, maes = chosen[:step], []
+        for fold in range(1, 6):
+            tr, te = block < fold, block == fold
+            design = lambda m: np.c_[np.ones(m.sum()), x.loc[m, use]]  # noqa: B023, E731
+            maes.append(np.abs(y[te] - design(te) @ np.linalg.lstsq(design(tr), y[tr], rcond=None)[0]).mean())
+        assert got["cv_mae"][step - 1] == pytest.approx(np.mean(maes), rel=1e-6)
+    assert chosen.index("a") < chosen.index("f")  # equal columns: the first name
+    assert linear.forward_selection(rows.filter("block = 0"), names).count() == 0
+    assert linear.forward_selection(rows.limit(0), names).count() == 0
+
+
 def test_registered_searches_try_all_points(monkeypatch):
     tried = []
     monkeypatch.setattr(catalog, "_model_rows", lambda *_: None)

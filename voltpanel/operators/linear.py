@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from voltpanel.functions import cooling_degrees, heating_degrees
 from voltpanel.operators.moments import centred, gram, standardised, unpack
-from voltpanel.session import materialised
 
 N_FOLDS = 5
 # The penalty grid, 50 points from 1e-4 to 1e4 evenly spaced in the exponent.
@@ -148,66 +147,88 @@ def coefficient_importance(models: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+#: A column of which the chosen ones leave less than this share of its training variation adds nothing.
+ADDS_NOTHING = 1e-12
+
+
+class _Sweep:
+    """One fold's rows with the chosen features swept out of the target and of all other columns.
+
+    Means and slopes come from the training rows and are taken off the test rows too, so the
+    error with one feature more needs that feature's column alone, not a new solve.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, block: np.ndarray, fold: int):
+        self.train, self.test = block < fold, block == fold
+        # Fancy indexing copies: each fold sweeps its own columns.
+        self.x, self.x_test = x[self.train], x[self.test]
+        mean, level = self.x.mean(axis=0), y[self.train].mean()
+        self.x, self.x_test = self.x - mean, self.x_test - mean
+        self.y, self.y_test = y[self.train] - level, y[self.test] - level
+        self.floor = ADDS_NOTHING * (self.x**2).sum(axis=0)
+
+    def slopes(self, on: np.ndarray) -> np.ndarray:
+        """Slope of ``on`` on each column; 0 for a column with nothing left."""
+        left = (self.x**2).sum(axis=0)
+        # Summed column by column in one order, so that equal columns have equal slopes.
+        shared = (self.x * on[:, None]).sum(axis=0)
+        return np.where(left > self.floor, shared / np.where(left > self.floor, left, 1.0), 0.0)
+
+    def errors(self) -> np.ndarray:
+        """Mean absolute test error after adding each column."""
+        return np.abs(self.y_test[:, None] - self.x_test * self.slopes(self.y)).mean(axis=0)
+
+    def add(self, j: int) -> None:
+        column, column_test = self.x[:, j].copy(), self.x_test[:, j].copy()
+        left = (column**2).sum()
+        if left > self.floor[j]:
+            gain, shared = column @ self.y / left, (self.x * column[:, None]).sum(axis=0) / left
+            self.y, self.y_test = self.y - gain * column, self.y_test - gain * column_test
+            self.x -= np.outer(column, shared)
+            self.x_test -= np.outer(column_test, shared)
+        self.x[:, j] = self.x_test[:, j] = 0.0
+
+
+def _select(x: np.ndarray, y: np.ndarray, block: np.ndarray, names: list[str], steps: int | None, n_folds: int):
+    """(step, feature, cv_mae) of the greedy choice on one zone's rows."""
+    sweeps = [_Sweep(x, y, block, f) for f in range(1, n_folds + 1) if (block < f).any() and (block == f).any()]
+    out, open_ = [], list(range(len(names)))
+    while sweeps and open_ and (steps is None or len(out) < steps):
+        maes = np.mean([s.errors() for s in sweeps], axis=0)
+        best = min(open_, key=lambda j: (maes[j], names[j]))
+        if steps is None and out and not maes[best] < out[-1][2]:
+            break
+        out.append((len(out) + 1, names[best], float(maes[best])))
+        open_.remove(best)
+        for s in sweeps:
+            s.add(best)
+    return out
+
+
 def forward_selection(
     train: DataFrame, features: list[str], target: str = "target", steps: int | None = None, n_folds: int = N_FOLDS
 ) -> DataFrame:
     """Greedy selection by expanding-window CV MAE, one choice per zone and step.
 
     A zone ends when its best candidate no longer lowers the CV MAE, or with a given
-    number of ``steps`` after these, whatever they bring.
+    number of ``steps`` after these, whatever they bring. Equal errors go to the first name.
 
-    Fits come from the moments, without touching the rows.  Absolute errors are not
-    additive in moments, so each step makes one pass that scores all candidates of all
-    folds at once; its weights travel with the zone, never through the driver.
+    All zones run at once, each on its own rows (at most one a day, so the calendar bounds
+    them). A step sweeps the chosen column out of the others and keeps the residuals: a
+    zone costs one pass over its columns per step and fold, and no Spark job per step.
+    Rows with a null feature or target take no part; a zone without a fold gives no rows.
     """
-    rows = materialised(
-        standardised(train, features, ["zone"]).select("zone", "block", target, *features), "scaled-rows"
-    )
-    cells = materialised(gram(rows, features + [target], ["zone", "block"]), "moments")
-    k = len(features)
-    chosen = rows.select("zone").distinct().withColumn("selected", F.expr("cast(array() as array<string>)"))
-    fit_schema = "zone string, selected array<string>, candidate string, block int, intercept double, coef array<double>"
+    names = [*features, target]
+    rows = train.select("zone", "block", *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=["block", *names])
 
-    def fit_candidates(key, part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        blocks = _by_block(part, k + 1)
-        # A zone without a state has ended.
-        done = list(state["selected"].iloc[0]) if len(state) else features
-        out = []
-        for candidate in [c for c in features if c not in done]:
-            use = sorted(features.index(c) for c in done + [candidate])
-            for fold in range(1, n_folds + 1):
-                before = [m for b, m in blocks.items() if b < fold]
-                if before and fold in blocks:
-                    coef, intercept = _fit(np.sum(before, axis=0), 0.0, use)
-                    out.append((key[0], done, candidate, fold, intercept, coef))
-        return pd.DataFrame(out, columns=["zone", "selected", "candidate", "block", "intercept", "coef"])
-
-    results = []
-    for step in range(1, min(k if steps is None else steps, k) + 1):
-        fits = cells.groupBy("zone").cogroup(chosen.groupBy("zone")).applyInPandas(fit_candidates, fit_schema)
-        error = F.abs(
-            reduce(lambda a, b: a + b, [F.col(c) * F.col("coef")[i] for i, c in enumerate(features)], F.col("intercept"))
-            - F.col(target)
-        )
-        fold_mae = (
-            rows.join(fits, ["zone", "block"])
-            .groupBy("zone", "candidate", "block")
-            .agg(F.avg(error).alias("mae"), F.first("selected").alias("selected"))
-        )
-        cv = fold_mae.groupBy("zone", "candidate").agg(F.avg("mae").alias("cv_mae"), F.first("selected").alias("selected"))
-        best = cv.groupBy("zone").agg(F.min_by(F.struct("candidate", "cv_mae", "selected"), F.struct("cv_mae", "candidate")).alias("_b"))
-        if steps is None and results:
-            before = step_result.select("zone", F.col("cv_mae").alias("_before"))
-            best = best.join(before, "zone").filter(F.col("_b.cv_mae") < F.col("_before"))
-        # Each step builds on the one before: cut the chain or it grows with the steps.
-        step_result = materialised(
-            best.select("zone", F.lit(step).alias("step"), "_b.candidate", "_b.cv_mae", "_b.selected"), "selection-step"
-        )
-        if results and step_result.isEmpty():
-            break
-        results.append(step_result.select("zone", "step", F.col("candidate").alias("feature"), "cv_mae"))
-        chosen = step_result.select("zone", F.array_append("selected", F.col("candidate")).alias("selected"))
-    return reduce(DataFrame.unionByName, results)
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part[features].to_numpy(), part[target].to_numpy()
+        found = _select(x, y, part["block"].to_numpy(), features, steps, n_folds)
+        out = pd.DataFrame(found, columns=["step", "feature", "cv_mae"])
+        out.insert(0, "zone", part["zone"].iloc[0])
+        return out
+
+    return rows.groupBy("zone").applyInPandas(choose, "zone string, step int, feature string, cv_mae double")
 
 
 def variance_inflation(rows: DataFrame, features: list[str], tolerance: float = 1e-9) -> DataFrame:
