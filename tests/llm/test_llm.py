@@ -343,6 +343,60 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert {r.score for r in toxicity_gru.score(odd, blank).collect()} == {0.0} and toxicity_gru.score(none, blank).count() == 0
 
 
+def plain_logit(network, tokens):
+    """Every window of a text by a recurrence word by word, without batches, caches or shared sums."""
+    t = toxicity_gru
+    p, n, h = network.p, len(tokens), t.HIDDEN
+
+    def step(x, u, state):
+        g = state @ u
+        z, r = t.sigmoid(x[:h] + g[:h]), t.sigmoid(x[h : 2 * h] + g[h : 2 * h])
+        new = np.tanh(x[2 * h :] + r * g[2 * h :])
+        return (1 - z) * new + z * state
+
+    vectors = []
+    for w in tokens:
+        chars = np.mean([p["char"][b] for b in t.char_buckets(w)], axis=0)
+        vectors.append(np.concatenate([p["word"][network.index.get(w, 0)], chars]))
+    states = []
+    for at in range(n):
+        first = at // t.BLOCK * t.BLOCK
+        ahead, back = np.zeros(h), np.zeros(h)
+        for i in range(max(0, first - t.WINDOW), at + 1):
+            ahead = step(vectors[i] @ p["wf"] + p["bf"], p["uf"], ahead)
+        for i in range(min(n, first + t.BLOCK + t.WINDOW, n) - 1, at - 1, -1):
+            back = step(vectors[i] @ p["wb"] + p["bb"], p["ub"], back)
+        states.append(np.concatenate([ahead, back]))
+    best = t.LOWEST
+    for start in range(max(1, n - t.WINDOW + 1)):
+        window = np.array(states[start : start + t.WINDOW])
+        e = np.exp(np.tanh(window @ p["wa"]) @ p["va"])
+        best = max(best, (e / e.sum()) @ window @ p["wo"] + p["bo"][0])
+    return best
+
+
+def test_every_window_equals_a_plain_forward_pass():
+    rnd = random.Random(4)
+    vocabulary = [a + b for a in "abcdefg" for b in "uvwxyz"]
+    net = toxicity_gru.Network(vocabulary[:30], [rnd.uniform(-3, 3) for _ in range(30)])
+    net.p["wo"] *= 4
+    sizes = [1, 2, 23, 24, 25, 47, 103, 104, 105, 128, 129, 207, 208, 209, 300]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(n)) for n in sizes]
+    got = toxicity_gru.Scorer(net).logits(["", None, *texts, texts[3]])
+    assert got[0] == got[1] == toxicity_gru.LOWEST and got[-1] == pytest.approx(got[5], abs=1e-5)
+    for value, text in zip(got[2:], texts):
+        assert value == pytest.approx(plain_logit(net, text.split()), abs=2e-4), len(text.split())
+    # The same text scores alike whatever it is batched with.
+    assert toxicity_gru.Scorer(net).logits([texts[-1]])[0] == pytest.approx(got[-2], abs=1e-5)
+
+
+def test_sliding_sums():
+    x = np.random.default_rng(0).random(60)
+    for width in (1, 2, 3, 7, 24, 59, 60):
+        want = [x[i : i + width].sum() for i in range(60 - width + 1)]
+        assert np.allclose(toxicity_gru.sliding_sums(x, width), want)
+
+
 def test_network_gradient_equals_differences():
     net = toxicity_gru.Network(["a", "b"], [1.0, -1.0])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -1,9 +1,15 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input joins a word vector with the mean of its character n-gram vectors. Windows
-of ``WINDOW`` words, each overlapping the next, run through a GRU in both directions; an
-attention layer weighs their states into one logit. A document's logit is its greatest
-window's, mapped to a probability by a fit on the training documents.
+A word's input joins a word vector with the mean of its character n-gram vectors. A GRU in
+both directions gives every word a state; an attention layer weighs the states of a window
+of ``WINDOW`` words into one logit. A window starts at every word, the last ones end with the
+text. A document's logit is its greatest window's, mapped to a probability by a fit on the
+training documents.
+
+Windows share their words' states: the recurrence runs once over blocks of ``BLOCK`` words,
+each entered ``WINDOW`` words early from both sides, so a state has read at least a window's
+width of context (or up to the text's end) and depends on the text alone. As the output layer
+is linear, a window's logit is a ratio of two sliding sums over its words.
 
 Labels say only whether a document is toxic, so training windows are picked by the words'
 log odds between toxic and other training documents. Labels of held-out documents are never
@@ -37,13 +43,15 @@ from voltpanel.session import materialised
 #: Bounds of the fit: labelled documents per class, and windows of each.
 TRAIN_DOCS, WINDOWS_EACH = 2_000, 3
 HELD_OUT = (5, 0)
-WINDOW, STRIDE = 24, 16
+WINDOW, BLOCK = 24, 104
 VOCABULARY, BUCKETS, GRAM = 4_000, 1_024, 3
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Logit of a text without words.
 LOWEST = -12.0
 CACHE_WORDS = 60_000
+#: Blocks that run through the recurrence together.
+BLOCKS_EACH = 512
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -58,8 +66,21 @@ def char_buckets(word: str) -> list[int]:
 
 
 def window_starts(n: int) -> np.ndarray:
-    """Starts of overlapping windows that together cover all ``n`` words."""
-    return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
+    """Every start of a window of ``WINDOW`` words, or of one with all words of a shorter text."""
+    return np.arange(max(1, n - WINDOW + 1))
+
+
+def sliding_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``width`` values from each place on, by doubling: no difference of great sums."""
+    out, done, power = np.zeros(len(x) - width + 1, x.dtype), 0, x
+    size = 1
+    while done < width:
+        if width & size:
+            out += power[done : done + len(out)]
+            done += size
+        power = power[:-size] + power[size:] if len(power) > size else power[:0]
+        size *= 2
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -256,28 +277,48 @@ class Scorer:
         out = np.full(len(texts), LOWEST)
         tokens = [words(t) for t in texts]
         self.learn(set().union(*tokens))
-        get, width, h = self.cache.__getitem__, 6 * HIDDEN, 3 * HIDDEN
+        get, width = self.cache.__getitem__, 6 * HIDDEN
         packed = b"".join(get(w) for x in tokens for w in x)
         if not packed:
             return out
         x = np.frombuffer(packed, np.float32).reshape(-1, width)
-        starts, stops, owner, at = [], [], [], 0
-        for i, t in enumerate(tokens):
-            if t:
-                s = window_starts(len(t))
-                starts.append(at + s)
-                stops.append(np.minimum(at + s + WINDOW, at + len(t)))
-                owner.append(np.full(len(s), i))
-                at += len(t)
-        starts, stops, owner = map(np.concatenate, (starts, stops, owner))
-        for some in range(0, len(starts), 4096):
-            place = np.arange(WINDOW)[:, None] + starts[None, some : some + 4096]
-            mask = (place < stops[None, some : some + 4096]).astype(np.float32)[:, :, None]
-            part = x[np.minimum(place, len(x) - 1)]
-            logit = self.network.pooled(part[:, :, :h], part[:, :, h:], mask)
-            np.maximum.at(out, owner[some : some + 4096], np.maximum(logit, LOWEST))
+        sizes = np.array([len(t) for t in tokens])
+        ends = np.cumsum(sizes)
+        pull, value = self.words_read(x, ends - sizes, ends)
+        for i in np.flatnonzero(sizes):
+            mine, reach = slice(ends[i] - sizes[i], ends[i]), min(WINDOW, sizes[i])
+            logit = sliding_sums((pull * value)[mine], reach) / sliding_sums(pull[mine], reach)
+            out[i] = max(LOWEST, float(logit.max()) + float(self.network.p["bo"][0]))
         return out
 
+    def words_read(self, x: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's attention (not yet divided by its window's sum) and its share of the logit.
+
+        ``x`` holds the projected words of all texts, text i from ``firsts[i]`` up to ``lasts[i]``.
+        """
+        p, h = self.network.p, 3 * HIDDEN
+        begin = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(firsts, lasts)])
+        owner = np.repeat(np.arange(len(firsts)), -(-(lasts - firsts) // BLOCK))
+        end = np.minimum(begin + BLOCK, lasts[owner])
+        low, high = np.maximum(begin - WINDOW, firsts[owner]), np.minimum(end + WINDOW, lasts[owner])
+        pull, value = np.empty(len(x)), np.empty(len(x))
+        # Blocks of like length go together, so that few steps are masked.
+        order = np.argsort(high - low, kind="stable")
+        for at in range(0, len(order), BLOCKS_EACH):
+            some = order[at : at + BLOCKS_EACH]
+            steps = np.arange(int((high - low)[some].max()))[:, None]
+            # Forwards a block is entered at its low end, backwards at its high end.
+            ahead, back = low[some] + steps, high[some] - 1 - steps
+            hf, _ = Network._gru(x[np.minimum(ahead, len(x) - 1), :h], p["uf"], (ahead < end[some]).astype(np.float32)[:, :, None], False)
+            hb, _ = Network._gru(x[np.maximum(back, 0), h:], p["ub"], (back >= begin[some]).astype(np.float32)[:, :, None], False)
+            own = (ahead >= begin[some]) & (ahead < end[some])
+            step, lane = np.nonzero(own)
+            place = ahead[step, lane]
+            states = np.concatenate([hf[step, lane], hb[high[some][lane] - 1 - place, lane]], axis=1)
+            pull[place] = np.exp((np.tanh(states @ p["wa"]) @ p["va"]).astype(np.float64))
+            value[place] = states @ p["wo"]
+        return pull, value
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         n = self.network
         return sigmoid(n.scale * self.logits(texts) + n.shift) if n.trained else np.full(len(texts), n.base)
