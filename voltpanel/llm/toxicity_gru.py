@@ -372,8 +372,8 @@ def log_odds(rows: DataFrame) -> list[tuple[str, float]]:
 
 
 def training_windows(rows: DataFrame, odds: list[tuple[str, float]]) -> tuple[list[list[str]], list[int]]:
-    """Windows to learn from: of toxic documents the one with the greatest odds, of others also
-    some by hash."""
+    """Windows to learn from: of toxic documents some of those with the greatest odds, of others
+    one of these and some anywhere, picked by their id."""
     weight = {w: max(0.0, o) for w, o in odds}
 
     def pick(batches: Iterator[pa.RecordBatch]):
@@ -387,7 +387,9 @@ def training_windows(rows: DataFrame, odds: list[tuple[str, float]]) -> tuple[li
                 summed = np.concatenate([[0.0], np.cumsum([weight.get(w, 0.0) for w in tokens])])
                 heat = summed[np.minimum(starts + WINDOW, len(tokens))] - summed[starts]
                 rng = np.random.default_rng(abs(doc_id or 0))
-                take = [int(np.argmax(heat))]
+                # Any of the hottest: the first would have its telling words at the end each time.
+                hottest = np.flatnonzero(heat >= heat.max() - 1e-9)
+                take = hottest[rng.integers(0, len(hottest), WINDOWS_EACH if toxic else 1)].tolist()
                 if toxic == 0:
                     take += rng.integers(0, len(starts), WINDOWS_EACH - 1).tolist()
                 for k in dict.fromkeys(take):
