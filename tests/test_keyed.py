@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltpanel.operators import keyed, validate
+from voltpanel.sinks import snapshots
 from voltpanel.sinks import tables as sinks
 
 D = dt.date
@@ -54,13 +55,18 @@ def test_day_join_keeps_every_panel_row(spark, make_panel):
 
 def test_table_upsert_touches_only_its_months(spark, tmp_path):
     path = str(tmp_path / "demand")
+
+    def files():
+        return {f"month={m}": sorted(snapshots.read(spark, path, months=[m]).inputFiles()) for m in range(202601, 202607)}
+
     start = [("a", D(2026, m, 1), float(m), False) for m in range(1, 7)]
     sinks.upsert_table(spark, path, spark.createDataFrame(start, DEMAND), ["zone", "date"], "date")
-    before = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "demand").iterdir() if p.is_dir()}
+    before = files()
     late = spark.createDataFrame([("a", D(2026, 6, 1), 60.0, False), ("a", D(2026, 6, 2), 61.0, False)], DEMAND)
     for _ in range(2):
         sinks.upsert_table(spark, path, late, ["zone", "date"], "date")
-    after = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "demand").iterdir() if p.is_dir()}
+    after = files()
+    assert all(before.values())
     assert {m for m in before if before[m] != after[m]} == {"month=202606"}
     got = {r.date: r.demand for r in sinks.read_monthly_table(spark, path).collect()}
     assert len(got) == 7 and got[D(2026, 6, 1)] == 60.0 and got[D(2026, 1, 1)] == 1.0

@@ -1,21 +1,19 @@
 """Table writers.
 
-Upserts rewrite only the months the update touches.  The merged months are first written
-to a staging path and then moved in by a dynamic partition overwrite that reads from
-staging, so the table is never read and replaced by the same job, a repeat of the same
-update gives the same table, and a lost executor only repeats tasks.
+Monthly tables are snapshot logs (``sinks.snapshots``). An upsert rewrites only the months the
+update touches into new folders and then commits them with one rename, so a reader sees the
+whole update or nothing of it, a repeat gives the same table, and a job that dies between the
+two leaves the old table whole.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltpanel.operators.keyed import keep_newest, merge_newest, upsert
-from voltpanel.session import scratch_path
-
-MONTH = "month"
+from voltpanel.operators.keyed import keep_newest, merge_newest, single_rows, upsert
+from voltpanel.sinks import snapshots
+from voltpanel.sinks.snapshots import MONTH
 
 
 def overwrite_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -41,18 +39,18 @@ def _with_month(rows: DataFrame, day: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    return snapshots.latest(spark, path) is not None
 
 
 def create_monthly_table(rows: DataFrame, path: str, day: str) -> None:
-    overwrite_table(_with_month(rows, day), path, [MONTH])
+    """Make ``rows`` the whole table, as its next version; months without rows are gone."""
+    spark = rows.sparkSession
+    base, months = snapshots.latest(spark, path), snapshots.stage(_with_month(rows, day), path)
+    snapshots.commit(spark, path, base, months, rows.schema, replace=True)
 
 
 def read_monthly_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(MONTH)
+    return snapshots.read(spark, path)
 
 
 def upsert_table(
@@ -63,27 +61,19 @@ def upsert_table(
     ``keys`` must include ``day``, so that a key stays in one month.  With ``newest``,
     those columns are stored too and decide between rows of a key, inside the update and
     against the table.  The touched months are a handful of numbers, which is all that
-    reaches the driver; with them as literals the scan of the stored side opens only
-    those folders.
+    reaches the driver; only their folders are opened. Older versions stay readable until
+    ``snapshots.expire``.
     """
     if day not in keys:
         raise ValueError(f"the partitioning day {day!r} must be part of the key {keys}")
-    if not table_exists(spark, path):
-        create_monthly_table(keep_newest(updates, keys, newest) if newest else updates, path, day)
-        return
-    monthly = _with_month(updates, day)
-    months = [r[MONTH] for r in monthly.select(MONTH).distinct().collect()]
-    if not months:
-        return
-    touched = spark.read.parquet(path).filter(F.col(MONTH).isin(months))
-    merged = merge_newest(touched, monthly, keys, newest) if newest else upsert(touched, monthly, keys)
-    staging = scratch_path(spark, "staging")
-    merged.write.partitionBy(MONTH).parquet(staging)
-    (
-        spark.read.schema(merged.schema)
-        .parquet(staging)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH)
-        .parquet(path)
-    )
+    base = snapshots.latest(spark, path)
+    if base is None:
+        merged = keep_newest(updates, keys, newest) if newest else single_rows(updates, keys)
+    else:
+        months = [r[MONTH] for r in _with_month(updates, day).select(MONTH).distinct().collect()]
+        if not months:
+            return
+        touched = snapshots.read(spark, path, base, months)
+        merged = merge_newest(touched, updates, keys, newest) if newest else upsert(touched, updates, keys)
+    staged = snapshots.stage(_with_month(merged, day), path)
+    snapshots.commit(spark, path, base, staged, merged.schema)
