@@ -42,7 +42,7 @@ from voltpanel.session import materialised, scratch_path, stored
 from voltpanel.sinks import models as artefacts
 from voltpanel.sinks.tables import read_monthly_table
 from voltpanel.sources import feeds
-from voltpanel.streaming import ingest
+from voltpanel.streaming import holdover, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -775,3 +775,28 @@ def daily_forecast(spark, sf_dir):
 def daily_forecast_status(spark, sf_dir):
     """What became of each zone in the daily forecast."""
     return publish(jobs.forecast_status(fx.demand(spark, sf_dir), fx.timeline(spark, sf_dir), "2001-08-01"))
+
+
+RUN_DAYS = ["2001-07-29", "2001-07-30", "2001-07-31", "2001-08-01"]
+
+
+@query
+def forecast_hold_over(spark, sf_dir):
+    """Four daily runs over one ledger: yesterday's demand as first published, older days as revised.
+
+    A zone without demand for yesterday is held over and predicted by the next run if the revision
+    brought it; after three tries it is missed. The prediction is the day before, as then known.
+    """
+    first, revised = fx.demand_provisional(spark, sf_dir), fx.demand_raw(spark, sf_dir)
+    ledger, predictions = scratch_path(spark, "ledger"), scratch_path(spark, "predictions")
+    for day in RUN_DAYS:
+        yesterday = F.date_sub(F.to_date(F.lit(day)), 1)
+        known = first.filter(F.col("period") == yesterday).unionByName(revised.filter(F.col("period") < yesterday))
+
+        def persist(pairs, known=known):
+            before = known.select("zone", F.date_add("period", 1).alias("target_date"), F.col("value").cast("double").alias("predicted_demand"))
+            return pairs.join(before, jobs.KEYS)
+
+        holdover.run_forecast(spark, ledger, predictions, known, day, day, persist)
+    told = read_monthly_table(spark, ledger).join(read_monthly_table(spark, predictions), jobs.KEYS, "left")
+    return publish(told)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,17 @@ def daily_forecast(
     return prediction_rows(forest.predict_rows(model, inputs, INFERENCE_FEATURES, KEYS), inputs, version)
 
 
+def forest_predictor(demand: DataFrame, timeline: DataFrame, model: DataFrame, version: str) -> Callable[[DataFrame], DataFrame]:
+    """What ``streaming.holdover.run_forecast`` asks for: prediction rows of given (zone, target
+    date) rows, whatever their dates; rows with a missing feature have none."""
+
+    def predict(pairs: DataFrame) -> DataFrame:
+        inputs = inference_table(demand, timeline).join(pairs, KEYS, "left_semi").dropna(subset=INFERENCE_FEATURES)
+        return prediction_rows(forest.predict_rows(model, inputs, INFERENCE_FEATURES, KEYS), inputs, version)
+
+    return predict
+
+
 def forecast_status(demand: DataFrame, timeline: DataFrame, target_date: str) -> DataFrame:
     """One row per zone: predicted, held_over or incomplete, with the features its row misses.
 

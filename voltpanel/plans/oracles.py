@@ -537,6 +537,16 @@ _BODIES = {
     "LEFT JOIN demand d ON d.zone = a.zone AND d.period = a.period + 1 GROUP BY a.zone",
     "freshness_gate": "SELECT zone, CAST(max(period) AS VARCHAR) AS latest, CASE WHEN max(period) = DATE '2001-08-01' THEN 'ready' ELSE 'unavailable' END AS status "
     "FROM raw WHERE period <= DATE '2001-08-01' GROUP BY zone",
+    "forecast_hold_over": """SELECT zone, CAST(t AS VARCHAR) AS target_date, CASE WHEN predicted THEN 'predicted' WHEN runs >= 3 THEN 'missed' ELSE 'held_over' END AS status,
+  tries, CAST(t AS VARCHAR) AS first_run, CAST(CAST(t + tries - 1 AS DATE) AS VARCHAR) AS last_run, CASE WHEN predicted THEN known END AS predicted_demand FROM (
+  SELECT z.zone, d.t, d.runs, CAST(coalesce(p.value, v.value) AS DOUBLE) AS known,
+    p.value IS NOT NULL OR (v.value IS NOT NULL AND d.runs >= 2) AS predicted,
+    CAST(CASE WHEN p.value IS NOT NULL THEN 1 WHEN v.value IS NOT NULL THEN least(d.runs, 2) ELSE least(d.runs, 3) END AS INT) AS tries
+  FROM (SELECT DATE '2001-07-29' + CAST(i AS INT) AS t, 4 - i AS runs FROM range(4) x(i)) d
+  JOIN (SELECT zone, min(period) AS since FROM raw GROUP BY zone) z ON true
+  LEFT JOIN provisional p ON p.zone = z.zone AND p.period = d.t - 1
+  LEFT JOIN raw v ON v.zone = z.zone AND v.period = d.t - 1
+  WHERE z.since < d.t - 1 OR p.value IS NOT NULL)""",
     "split_report": "SELECT CASE WHEN period < DATE '2000-01-01' THEN 'train' WHEN period < DATE '2001-01-01' THEN 'val' ELSE 'test' END AS split, "
     f"count(*) AS n, CAST(min(period) AS VARCHAR) AS first_day, CAST(max(period) AS VARCHAR) AS last_day, sum(is_imputed) AS imputed_rows FROM with_next WHERE {_ALIGNED} GROUP BY 1",
     "time_split": f"SELECT zone, {_dated('period')}, value, is_imputed, split FROM split",
