@@ -563,7 +563,7 @@ VIF_FEATURES = [c for c in explore.NUMERIC_COLUMNS if c not in ("value", "day_of
 @query
 def vif(spark, sf_dir):
     rows = explore.observed(fx.modelling(spark, sf_dir)).dropna(subset=VIF_FEATURES)
-    return publish(linear.variance_inflation(rows, VIF_FEATURES), 4)
+    return publish(linear.variance_inflation(rows, VIF_FEATURES), 2)
 
 
 @query

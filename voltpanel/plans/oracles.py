@@ -433,6 +433,37 @@ four AS (SELECT *, {without('d4', ['e1', 'e2', 'e3'])} AS e4 FROM three)
 SELECT zone, side, base, {r(f'({explained}) / sum(y * y)')} AS r2 FROM four GROUP BY zone, side, base"""
 
 
+VIF_FEATURES = [c for c in NUMERIC_COLUMNS if c not in ("value", "day_of_week")]
+
+
+def _vif() -> str:
+    """Variance inflation by elimination: all other features swept out of each one's own row.
+
+    A pivot of which earlier ones leave nothing is skipped; a feature with nothing left is infinite.
+    """
+    k, nothing = len(VIF_FEATURES), "1e-9"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in VIF_FEATURES)
+    swept = "list_transform(m, lambda line, i: CASE WHEN i = k THEN line ELSE list_transform(line, lambda v, j: v - line[k] * m[k][j] / m[k][k]) END)"
+    return f"""
+WITH RECURSIVE {LIBRARY},
+long AS (
+  SELECT zone, id, unnest(range(1, {k} + 1)) AS i, unnest(x) AS v FROM (
+    SELECT zone, period AS id, [{", ".join(f"CAST({c} AS DOUBLE)" for c in VIF_FEATURES)}] AS x FROM modelling WHERE is_imputed = 0 AND {known})),
+unit AS (
+  SELECT zone, id, i, CASE WHEN sd > 1e-9 * (1 + abs(mean)) THEN (v - mean) / sd ELSE 0 END AS v FROM (
+    SELECT *, avg(v) OVER (PARTITION BY zone, i) AS mean, stddev_pop(v) OVER (PARTITION BY zone, i) AS sd FROM long)),
+cells AS (SELECT a.zone, a.i, b.i AS j, sum(a.v * b.v) AS c FROM unit a JOIN unit b ON b.zone = a.zone AND b.id = a.id GROUP BY ALL),
+lines AS (SELECT zone, i, list(c ORDER BY j) AS line FROM cells GROUP BY zone, i),
+gram AS (SELECT zone, list(line ORDER BY i) AS m FROM lines GROUP BY zone),
+swept(zone, t, k, full_, m) AS (
+  SELECT zone, unnest(range(1, {k} + 1)), 1, m, m FROM gram
+  UNION ALL
+  SELECT zone, t, k + 1, full_, CASE WHEN k = t OR m[k][k] <= {nothing} * full_[k][k] THEN m ELSE {swept} END FROM swept WHERE k <= {k})
+SELECT zone, [{", ".join(f"'{c}'" for c in VIF_FEATURES)}][t] AS feature, CASE WHEN full_[t][t] = 0 THEN NULL
+  WHEN m[t][t] <= {nothing} * full_[t][t] THEN 'inf'::DOUBLE ELSE {r('full_[t][t] / m[t][t]', 2)} END AS vif
+FROM swept WHERE k = {k} + 1"""
+
+
 def _constraints() -> str:
     def finding(table: str, constraint: str, query: str) -> str:
         return f"SELECT '{table}' AS table_name, '{constraint}' AS \"constraint\", ({query}) AS violations"
@@ -623,4 +654,5 @@ ORACLES = {name: over_library(body) for name, body in _BODIES.items()} | {
     "regime_correlation": _regimes(),
     "table_constraints": _constraints(),
     "base_scan": _base_scan(),
+    "vif": _vif(),
 }
