@@ -610,7 +610,7 @@ def ridge_cv(spark, sf_dir):
 @query
 def feature_importance(spark, sf_dir):
     models = linear.ridge_cv(_train(_model_rows(spark, sf_dir)), INFERENCE_FEATURES)
-    return publish(linear.coefficient_importance(models, INFERENCE_FEATURES))
+    return publish(linear.coefficient_importance(models, INFERENCE_FEATURES), 3)
 
 
 @query

@@ -464,6 +464,53 @@ SELECT zone, [{", ".join(f"'{c}'" for c in VIF_FEATURES)}][t] AS feature, CASE W
 FROM swept WHERE k = {k} + 1"""
 
 
+def _ridge(body: str) -> str:
+    """Ridge by elimination: every penalty's normal equations per fold, R squared from the test rows.
+
+    Fold 6 holds all training rows. ``best`` is the chosen penalty, ``final`` its coefficients.
+    """
+    k, names = len(INFERENCE_FEATURES), ", ".join(INFERENCE_FEATURES)
+    known = "FILTER (WHERE period < '2000-01-01') OVER (PARTITION BY zone)"
+    unit = ", ".join(
+        f"CASE WHEN stddev_pop(x[{i}]) {known} = 0 THEN 0 ELSE (x[{i}] - avg(x[{i}]) {known}) / stddev_pop(x[{i}]) {known} END"
+        for i in range(1, k + 1)
+    )
+    return f"""
+WITH RECURSIVE {LIBRARY},
+model_rows AS ({_feature_set('inference')}),
+raw_rows AS (SELECT zone, period, CAST(target AS DOUBLE) AS y, list_transform([{names}], lambda v: CAST(v AS DOUBLE)) AS x
+  FROM model_rows),
+days AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM (
+  SELECT DISTINCT period FROM raw_rows WHERE period < '2000-01-01')),
+unit_rows AS (SELECT zone, period, y, [{unit}] AS x FROM raw_rows),
+train_rows AS (
+  SELECT zone, period, y, x, CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE (i - (n - 5 * (n // 6))) // (n // 6) + 1 END AS block
+  FROM unit_rows JOIN days USING (period)),
+long AS (SELECT zone, period, block, unnest(range(1, {k} + 2)) AS i, unnest(list_append(x, y)) AS v FROM train_rows),
+fold_long AS (SELECT zone, f, period, i, v - avg(v) OVER (PARTITION BY zone, f, i) AS v, avg(v) OVER (PARTITION BY zone, f, i) AS mean
+  FROM long JOIN range(1, 7) folds(f) ON block < f),
+cells AS (SELECT a.zone, a.f, a.i, b.i AS j, sum(a.v * b.v) AS c FROM fold_long a JOIN fold_long b
+  ON b.zone = a.zone AND b.f = a.f AND b.period = a.period WHERE a.i <= {k} GROUP BY ALL),
+penalties AS (SELECT p, power(10::DOUBLE, -4 + p * 8.0::DOUBLE / 49) AS alpha FROM range(50) x(p)),
+lines AS (SELECT zone, f, p, i, list(c + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS line FROM cells, penalties GROUP BY zone, f, p, i),
+swept(zone, f, p, k, m) AS (
+  SELECT zone, f, p, 1, list(line ORDER BY i) FROM lines GROUP BY zone, f, p
+  UNION ALL
+  SELECT zone, f, p, k + 1, list_transform(
+    list_transform(m, lambda line, i: {{'line': line, 'share': CASE WHEN i = k THEN 0 ELSE line[k] / top[k] END}}),
+    lambda s: list_transform(list_zip(s.line, top), lambda z: z[1] - s.share * z[2]))
+  FROM (SELECT *, m[k] AS top FROM swept WHERE k <= {k})),
+fits AS (SELECT zone, f, p, list_transform(m, lambda line, i: line[{k} + 1] / line[i]) AS coef FROM swept WHERE k = {k} + 1),
+means AS (SELECT zone, f, list(mean ORDER BY i) AS mean FROM (SELECT DISTINCT zone, f, i, mean FROM fold_long) GROUP BY zone, f),
+models AS (SELECT fits.*, mean[{k} + 1] - list_dot_product(coef, mean[1:{k}]) AS intercept FROM fits JOIN means USING (zone, f)),
+r2s AS (SELECT m.zone, f, p, 1 - sum(power(y - intercept - list_dot_product(coef, x), 2)) / (var_pop(y) * count(*)) AS r2
+  FROM models m JOIN train_rows t ON t.zone = m.zone AND t.block = m.f GROUP BY m.zone, f, p),
+scores AS (SELECT zone, p, avg(r2) AS r2 FROM r2s GROUP BY zone, p),
+best AS (SELECT zone, p, r2 FROM scores QUALIFY row_number() OVER (PARTITION BY zone ORDER BY r2 DESC, p) = 1),
+final AS (SELECT m.zone, coef, intercept, r2, alpha FROM models m JOIN best USING (zone, p) JOIN penalties USING (p) WHERE f = 6)
+{body}"""
+
+
 def _constraints() -> str:
     def finding(table: str, constraint: str, query: str) -> str:
         return f"SELECT '{table}' AS table_name, '{constraint}' AS \"constraint\", ({query}) AS violations"
@@ -655,4 +702,15 @@ ORACLES = {name: over_library(body) for name, body in _BODIES.items()} | {
     "table_constraints": _constraints(),
     "base_scan": _base_scan(),
     "vif": _vif(),
+    "ridge_cv": _ridge(
+        f"""SELECT zone, n_rows, {r('alpha')} AS alpha, {r('r2')} AS r2, count(*) AS n, {r('avg(abs(e))', 0)} AS mae, {r('sqrt(avg(e * e))', 0)} AS rmse,
+  {r('avg(abs(e / y)) * 100', 2)} AS mape, {r('avg(e)', 1)} AS bias
+FROM (SELECT zone, alpha, r2, y, intercept + list_dot_product(coef, x) - y AS e FROM final JOIN unit_rows USING (zone)
+  WHERE period BETWEEN '2000-01-01' AND '2000-12-31')
+JOIN (SELECT zone, count(*) AS n_rows FROM train_rows GROUP BY zone) USING (zone) GROUP BY zone, n_rows, alpha, r2"""
+    ),
+    "feature_importance": _ridge(
+        f"SELECT zone, unnest([{', '.join(repr(c) for c in INFERENCE_FEATURES)}]) AS feature, unnest(list_transform(coef, lambda v: {r('v', 3)})) AS coefficient, "
+        f"unnest(list_transform(coef, lambda v: {r('abs(v)', 3)})) AS importance FROM final"
+    ),
 }
