@@ -563,7 +563,9 @@ VIF_FEATURES = [c for c in explore.NUMERIC_COLUMNS if c not in ("value", "day_of
 @query
 def vif(spark, sf_dir):
     rows = explore.observed(fx.modelling(spark, sf_dir)).dropna(subset=VIF_FEATURES)
-    return publish(linear.variance_inflation(rows, VIF_FEATURES), 2)
+    # Near-collinear features lose digits: great values are told to the hundred.
+    whole = F.when(F.col("vif") < 1e4, F.col("vif")).otherwise(F.rint(F.col("vif") / 100) * 100)
+    return publish(linear.variance_inflation(rows, VIF_FEATURES).withColumn("vif", whole), 2)
 
 
 @query

@@ -460,7 +460,7 @@ swept(zone, t, k, full_, m) AS (
   UNION ALL
   SELECT zone, t, k + 1, full_, CASE WHEN k = t OR m[k][k] <= {nothing} * full_[k][k] THEN m ELSE {swept} END FROM swept WHERE k <= {k})
 SELECT zone, [{", ".join(f"'{c}'" for c in VIF_FEATURES)}][t] AS feature, CASE WHEN full_[t][t] = 0 THEN NULL
-  WHEN m[t][t] <= {nothing} * full_[t][t] THEN 'inf'::DOUBLE ELSE {r('full_[t][t] / m[t][t]', 2)} END AS vif
+  WHEN m[t][t] <= {nothing} * full_[t][t] THEN 'inf'::DOUBLE WHEN full_[t][t] / m[t][t] < 1e4 THEN {r('full_[t][t] / m[t][t]', 2)} ELSE round_even(full_[t][t] / m[t][t] / 100, 0) * 100 END AS vif
 FROM swept WHERE k = {k} + 1"""
 
 
