@@ -13,7 +13,7 @@ DEFAULT = """
     src_paged_json src_struct_of_arrays src_array_of_structs merge_sources_keep_newest upsert_prediction upsert_score
     impute_ratio impute_unfillable modelling_table live_demand_features inference_row featureset_all
     featureset_forecast alignment_audit cv_folds offline_metrics trailing_scores weekday_box autocorrelation
-    regime_correlation stream_ingest_upsert rescore_revisions forecast_hold_over vif ridge_cv feature_importance
+    regime_correlation stream_ingest_upsert stream_newest_upsert rescore_revisions forecast_hold_over vif ridge_cv feature_importance
 """.split()
 CHECKED = sorted(driver.oracle_sql()) if os.environ.get("VOLTPANEL_ALL") else DEFAULT
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from voltpanel.operators import scoring
 from voltpanel.plans import jobs
+from voltpanel.sinks import snapshots
 from voltpanel.sinks import tables as sinks
 from voltpanel.streaming import ingest
 
@@ -50,6 +51,27 @@ def test_restart_and_replay_change_nothing(spark, tmp_path):
     assert demand(spark, path) == WANT
 
 
+@pytest.mark.parametrize("order, per_batch", [((0, 1, 2), None), ((2, 1, 0), 1), ((0, 1, 2, 1, 0, 2), 1)])
+def test_newest_rows_as_state_give_the_same_table(spark, tmp_path, order, per_batch):
+    landing, path = land(spark, tmp_path, order), str(tmp_path / "demand")
+    feed = ingest.landed_files(spark, landing, FEED, files_per_batch=per_batch)
+    ingest.run_upserts(feed, path, str(tmp_path / "state"), changes_only=True)
+    assert demand(spark, path) == WANT
+    made = snapshots.versions(spark, path)
+    # Files that bring nothing new make no version, also after a restart.
+    land(spark, tmp_path, (0, 2))
+    ingest.run_upserts(feed, path, str(tmp_path / "state"), changes_only=True)
+    assert demand(spark, path) == WANT and snapshots.versions(spark, path) == made
+    if len(order) == 6:
+        assert len(made) == 3
+    extra = spark.createDataFrame([("a", D(2026, 7, 30), None, True, 9), (None, D(2026, 7, 30), 1.0, True, None)], FEED)
+    extra.coalesce(1).write.mode("append").parquet(landing)
+    ingest.run_upserts(feed, path, str(tmp_path / "state"), changes_only=True)
+    rows = {(r.zone, r.date): (r.demand, r.seq) for r in sinks.read_monthly_table(spark, path).collect()}
+    assert rows[("a", D(2026, 7, 30))] == (None, 9) and rows[(None, D(2026, 7, 30))] == (1.0, None) and len(rows) == 5
+    assert len(snapshots.versions(spark, path)) == len(made) + 1
+
+
 def test_scores_follow_revisions_inside_the_window(spark, tmp_path):
     predictions = [("a", D(2026, 7, d), 10.0, "m", "{}") for d in (30, 31)] + [("b", D(2026, 8, 1), 10.0, "m", "{}"), ("a", D(2026, 6, 1), 1.0, "m", "{}")]
     paths = {name: str(tmp_path / name) for name in ("predictions", "demand", "scores")}

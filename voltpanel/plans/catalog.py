@@ -724,8 +724,7 @@ def predict_batch(spark, sf_dir):
 # --- daily jobs ------------------------------------------------------------------------
 
 
-@query
-def stream_ingest_upsert(spark, sf_dir):
+def _upserted_events(spark, sf_dir, changes_only):
     schema = fx.table(spark, sf_dir, "events").schema
     landed = ingest.landed_files(spark, sf_dir, schema, glob="events.parquet")
     feed = landed.select(
@@ -736,10 +735,21 @@ def stream_ingest_upsert(spark, sf_dir):
         F.col("event_id").alias("seq"),
     )
     table_path = scratch_path(spark, "demand-daily")
-    ingest.run_upserts(feed, table_path, scratch_path(spark, "stream-state"))
+    ingest.run_upserts(feed, table_path, scratch_path(spark, "stream-state"), changes_only)
     return publish(read_monthly_table(spark, table_path))
 
 
+@query
+def stream_ingest_upsert(spark, sf_dir):
+    return _upserted_events(spark, sf_dir, False)
+
+
+@query
+def stream_newest_upsert(spark, sf_dir):
+    """The same table through a stream that keeps each key's newest row as state."""
+    return _upserted_events(spark, sf_dir, True)
+
+
 @query
 def rescore_revisions(spark, sf_dir):
     """Scores made on first-published demand, refreshed where the trailing window was revised."""

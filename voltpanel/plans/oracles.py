@@ -714,3 +714,4 @@ JOIN (SELECT zone, count(*) AS n_rows FROM train_rows GROUP BY zone) USING (zone
         f"unnest(list_transform(coef, lambda v: {r('abs(v)', 3)})) AS importance FROM final"
     ),
 }
+ORACLES["stream_newest_upsert"] = ORACLES["stream_ingest_upsert"]
