@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,6 +278,49 @@ def test_leaks_with_edits_as_dense_as_the_score_allows(spark):
         assert got.get(at, (7, 0.0))[1] == (whole if whole >= 0.5 else 0.0)
 
 
+def test_seeds_lose_no_stretch_with_enough_words_in_common():
+    rnd = random.Random(6)
+    letters = [f"w{k}" for k in range(30)]
+    word = lambda: letters[min(int(rnd.expovariate(0.15)), 29)]  # noqa: E731  (few frequent words, many repeats)
+    texts = [" ".join(word() for _ in range(rnd.randint(1, 24))) for _ in range(60)]
+    for counts in ({}, {w: 1000 - k for k, w in enumerate(letters)}):
+        items = decontaminate.Items([*texts, texts[0], None, ""], 5, 0.5, counts)
+        docs = [" ".join(word() for _ in range(rnd.randint(0, 300))) for _ in range(12)] + [None]
+        numbers = [items.numbers(t) for t in docs]
+        for group in items.groups:
+            got = sorted(zip(*(x.tolist() for x in group.stretches(numbers))))
+            want = []
+            for t, text in enumerate(numbers):
+                for block in range(len(text) // group.span + 2):
+                    first = (block - 1) * group.span
+                    held = Counter(text[max(0, first) : max(0, first + 2 * group.span)].tolist())
+                    for k, need in zip(group.numbers.tolist(), group.need.tolist()):
+                        if (Counter(items.items[k].tolist()) & held).total() >= need:
+                            want.append((t, first, k))
+            assert got == sorted(want)
+
+
+def test_each_row_is_judged_by_itself(spark):
+    rnd = random.Random(7)
+    body = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    item, one, two, three = body(), body(), body(), body()
+    rows = [
+        (1, one, "x"), (1, two, "x"), (1, two, "x"), (1, two, None), (2, one, "x"), (None, one, "x"), (None, three, "x"),
+        (None, three, "x"), (3, item, "x"), (3, body(), "y"), (None, item, "x"), (4, None, "x"), (None, None, "x"), (None, "", "z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
+    kept = simhash_gray.keep_one(docs)
+    assert kept.columns == docs.columns
+    near = sorted(map(tuple, kept.collect()), key=str)
+    # Rows (1, two, null) and (1, two, x) are copies of each other; all copies have one row left.
+    assert [r[:2] for r in near if r[1] == two] == [(1, two)] and len(near) == 6
+    assert {r[:2] for r in near} == {(1, one), (1, two), (None, three), (3, item), (3, rows[9][1]), (4, None)}
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if r[1] != item), key=str)
+
+
 def test_alignment_equals_the_textbook_table():
     rng = np.random.default_rng(4)
     a = [rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(50)]

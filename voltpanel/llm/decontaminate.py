@@ -1,18 +1,26 @@
-"""Benchmark decontamination: an exact word-count filter, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact rare seeds, then Smith-Waterman alignment.
 
 A document leaks an item if the best local alignment of the two (Smith-Waterman, word by
 word) reaches a share of ``MIN_SCORE`` of the best possible score, so verbatim, edited and
 paraphrased copies count alike. With m matched words and x mismatches and gaps the score is
 2m - x, so a leak of score t has at least t / 2 matched words and spans at most 3n - t words
 of the text (n: the item's words). Texts are cut into overlapping stretches that hold every
-such span whole; a stretch is aligned if it has enough of the item's words in common, each
-counted at most as often as the item has it. No other candidate can reach the score, and
-none is dropped for being frequent: edits may be as dense as the score allows.
+such span whole, and only stretches with that many of the item's words in common, each
+counted at most as often as the item has it, can reach the score.
+
+They are found by seeds. A Spark job counts the items' words in all documents, and each
+item's words are ordered from rare to frequent. Of any ``need`` shared words at least k lie
+among the n - need + k rarest, so those are the item's seeds, and a stretch that holds k of
+them is a candidate: the items' frequent words, which nearly every stretch has, are never
+joined. The seeds travel to the tasks and are joined there with the stretches' words; the
+candidates' whole counts are then verified one by one, and what passes is aligned. Seeds are
+single words because the score allows an edit next to every word: no longer n-gram must
+survive in a copy that still reaches it. No candidate is dropped for being frequent.
 
 Defined results: null and blank texts and items match nothing; an item of fewer than
 ``SEED_WORDS`` words must be there word for word; repeated items and rows each give their own rows; a
 null doc_id or item_id keeps its row; an empty table on either side gives no leaks; other
-columns are ignored by ``leaks`` and kept by ``clean``.
+columns are ignored by ``leaks`` and kept by ``clean``, which judges each row by itself.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltpanel.llm.common import column, fresh, slices
+from voltpanel.llm.common import column, slices
 
 SEED_WORDS = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -36,8 +44,8 @@ MIN_SCORE = 0.5
 #: Test words up to which the items travel to every task (about 50 bytes a word); larger sets
 #: are taken in parts.
 BROADCAST_WORDS = 2_000_000
-#: Counters (stretches by items) held at a time.
-COUNTERS = 4_000_000
+#: Seed hits, or words of candidates, held at a time.
+GATHER = 2_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -46,21 +54,32 @@ def words(text: str | None) -> list[str]:
 
 
 class Lengths:
-    """Items of similar length: which of them hold a word for the k-th time, and what a leak needs."""
+    """Items of similar length: their seeds, and what a leak of each needs.
 
-    def __init__(self, numbers: list[int], items: list[np.ndarray], scores: list[int], size: int):
+    The k-th time that a word occurs is an entry of its own, so counts become sets.
+    """
+
+    def __init__(self, numbers: list[int], items: list[np.ndarray], scores: list[int], frequency: np.ndarray):
         self.numbers = np.array(numbers, np.int64)
         # The longest span of a leak in the text: a stretch is two of these, one overlapping.
         self.span = max(3 * len(items[k]) - scores[k] for k in numbers)
         self.need = np.array([-(-scores[k] // MATCH) for k in numbers], np.int64)
+        self.least = np.maximum(1, self.need // 2)
         counts = [Counter(items[k].tolist()) for k in numbers]
         self.levels = max(max(c.values()) for c in counts)
-        rows = sorted((w * self.levels + level, at) for at, c in enumerate(counts) for w, many in c.items() for level in range(many))
-        entry = np.array([r[0] for r in rows], np.int64)
-        self.holder = np.array([r[1] for r in rows], np.int64)
-        self.begin = np.searchsorted(entry, np.arange(size * self.levels + 1))
-        self.known = np.zeros(size, bool)
-        self.known[entry // self.levels] = True
+        # Entries of each item from rare to frequent; any order would be exact.
+        held = [
+            sorted((int(frequency[w]), w * self.levels + level) for w, many in c.items() for level in range(many)) for c in counts
+        ]
+        self.entries = np.array([e for own in held for _, e in own], np.int64)
+        self.bounds = np.cumsum([0, *map(len, held)])
+        seeds = sorted(
+            (e, at) for at, own in enumerate(held) for _, e in own[: len(own) - int(self.need[at]) + int(self.least[at])]
+        )
+        self.seed = np.array([e for e, _ in seeds], np.int64)
+        self.holder = np.array([at for _, at in seeds], np.int64)
+        self.known = np.zeros(len(frequency), bool)
+        self.known[self.entries // self.levels] = True
 
     def stretches(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, item) of all stretches that share the words a leak needs."""
@@ -83,29 +102,50 @@ class Lengths:
         level = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
         key = key[level < self.levels]
         cell, entry = key // size, key % size * self.levels + level[level < self.levels]
-        many = self.begin[entry + 1] - self.begin[entry]
-        here = many > 0
-        cell, entry, many = cell[here], entry[here], many[here]
-        width = len(self.numbers)
-        found_cell, found_item = [], []
-        step = max(1, COUNTERS // width)
-        for low in range(0, cells, step):
-            a, b = np.searchsorted(cell, (low, low + step))
-            n = many[a:b]
-            place = np.repeat(self.begin[entry[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared = np.bincount(np.repeat(cell[a:b] - low, n) * width + self.holder[place], minlength=width)
-            shared = np.append(shared, np.zeros(-len(shared) % width, np.int64)).reshape(-1, width)
-            c, i = np.nonzero(shared >= self.need)
-            found_cell.append(c + low)
-            found_item.append(i)
-        cell, item = np.concatenate(found_cell), np.concatenate(found_item)
+        cell, item = self.candidates(cell, entry, size * self.levels)
         return np.concatenate(owner)[cell], np.concatenate(first)[cell], self.numbers[item]
 
+    def candidates(self, cell: np.ndarray, entry: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, item) couples with enough entries in common, by seeds; cells come ascending."""
+        low, high = np.searchsorted(self.seed, entry), np.searchsorted(self.seed, entry, "right")
+        hit = np.flatnonzero(high > low)
+        owner, low, many = cell[hit], low[hit], (high - low)[hit]
+        whole, width = cell * size + entry, len(self.numbers)
+        out = [np.empty((2, 0), np.int64)]
+        at = 0
+        while at < len(owner):
+            # Whole cells, about GATHER seed hits at a time.
+            end = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), GATHER)) + at)
+            end = int(np.searchsorted(owner, owner[end - 1], "right"))
+            n = many[at:end]
+            place = np.repeat(low[at:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            couple, hits = np.unique(np.repeat(owner[at:end], n) * width + self.holder[place], return_counts=True)
+            couple = couple[hits >= self.least[couple % width]]
+            out += self.verified(couple // width, couple % width, whole, size)
+            at = end
+        return tuple(np.concatenate(out, axis=1))
+
+    def verified(self, cell: np.ndarray, item: np.ndarray, whole: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Those candidates whose entries in common, all counted, are as many as a leak needs."""
+        step = max(1, GATHER // int(np.diff(self.bounds).max()))
+        for at in range(0, len(cell), step):
+            c, i = cell[at : at + step], item[at : at + step]
+            n = self.bounds[i + 1] - self.bounds[i]
+            starts = np.cumsum(n) - n
+            asked = np.repeat(c * size, n) + self.entries[np.repeat(self.bounds[i] - starts, n) + np.arange(n.sum())]
+            place = np.searchsorted(whole, asked)
+            shared = np.add.reduceat((whole[np.minimum(place, len(whole) - 1)] == asked).astype(np.int64), starts)
+            keep = shared >= self.need[i]
+            yield np.stack([c[keep], i[keep]])
+
 
 class Items:
-    """The items as word numbers, grouped by length. 0 and 1 are no item's words."""
+    """The items as word numbers, grouped by length. 0 and 1 are no item's words.
+
+    ``frequency`` tells how often a word occurs in the documents; absent words count as rarest.
+    """
 
-    def __init__(self, texts: list[str | None], n: int, min_score: float):
+    def __init__(self, texts: list[str | None], n: int, min_score: float, frequency: dict[str, int] | None = None):
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
         self.items = [np.array([number(w, len(self.vocabulary) + 2) for w in words(t)], np.int64) for t in texts]
@@ -115,8 +155,9 @@ class Items:
         for k, x in enumerate(self.items):
             if 0 < len(x) and self.score[k] <= self.full[k]:
                 groups.setdefault(len(x).bit_length() if len(x) & (len(x) - 1) else len(x).bit_length() - 1, []).append(k)
-        size = len(self.vocabulary) + 2
-        self.groups = [Lengths(g, self.items, self.score, size) for g in groups.values()]
+        known = frequency or {}
+        counted = np.array([0, 0, *(known.get(w, 0) for w in self.vocabulary)], np.int64)
+        self.groups = [Lengths(g, self.items, self.score, counted) for g in groups.values()]
 
     def numbers(self, text: str | None) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words(text), repeat(1)), np.int64)
@@ -183,29 +224,66 @@ def find_leaks(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, LEAK)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, item_id, n_words (of the item), start (word in the text), score: best stretch per couple.
+def word_counts(docs: DataFrame, benchmark: DataFrame) -> dict[str, int]:
+    """How often each of the items' words occurs in all documents; bounded by the items' words.
 
-    The test set must fit the stated bound to travel to the tasks; a larger one is taken in
-    parts of that size, one pass over the documents each.
+    Words are cut by Spark here. They may differ from ``words`` in rare letters, which changes
+    the order of the seeds and not what they find.
     """
-    spark = docs.sparkSession
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
+
+    asked = F.broadcast(cut(benchmark).distinct())
+    counted = cut(docs).join(asked, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r.word: r.n for r in counted.collect()}
+
+
+def item_parts(docs: DataFrame, benchmark: DataFrame, n: int, min_score: float) -> Iterator[tuple[Items, list]]:
+    """The test set in parts that fit the stated bound, each with its items' ids."""
     sizes = benchmark.select("item_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")).alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     parts = max(1, -(-total // BROADCAST_WORDS))
-    out = None
     for part in range(parts):
         mine = sizes.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sizes
         items = [(r[0], r[1]) for r in mine.select("item_id", "text").collect()]
-        names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(items)], "item bigint, item_id bigint")
-        found = find_leaks(docs, Items([x[1] for x in items], n, min_score))
-        rows = found.join(F.broadcast(names), "item").select("doc_id", "item_id", "n_words", "start", "score")
+        frequency = word_counts(docs, mine) if items else {}
+        yield Items([x[1] for x in items], n, min_score, frequency), [x[0] for x in items]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """doc_id, item_id, n_words (of the item), start (first word of the best stretch), score.
+
+    The test set must fit the stated bound to travel to the tasks; a larger one is taken in
+    parts of that size, one pass over the documents each.
+    """
+    out = None
+    for items, ids in item_parts(docs, benchmark, n, min_score):
+        names = docs.sparkSession.createDataFrame(list(enumerate(ids)), "item bigint, item_id bigint")
+        rows = find_leaks(docs, items).join(F.broadcast(names), "item").select("doc_id", "item_id", "n_words", "start", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, with their own columns; rows with a null id are kept."""
-    name = fresh(docs, "leaked_id")
-    leaked = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(leaked, docs["doc_id"] == F.col(name), "left_anti")
+    """The documents without a leak, with their own columns.
+
+    Every row is judged by its own text, whatever its id: rows that share an id, or have none,
+    do not stand for each other. All parts of a large test set are taken in one pass.
+    """
+    out = docs
+    for items, _ in item_parts(docs, benchmark, SEED_WORDS, MIN_SCORE):
+        out = without_leaks(out, items)
+    return out
+
+
+def without_leaks(docs: DataFrame, items: Items) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        known = shared.value
+        for batch in slices(batches):
+            held = {t for t, *_ in known.leaks(column(batch, "text"))}
+            yield batch.filter(pa.array([t not in held for t in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -14,7 +14,8 @@ are one component already. A node hands on a spanning star of what it linked, ne
 Defined results: a null or blank text has no words and fingerprint zero, linked like any
 other; fewer than four words count as one shingle; repeated rows get equal answers; a null
 id keeps its row and never names a component that has another id; an empty table gives no
-rows; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+rows; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``, which judges
+rows and not ids.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from voltpanel.llm.common import column, fresh, slices
+from voltpanel.llm.common import fresh, slices
 from voltpanel.llm.components import connected_components
 from voltpanel.session import materialised
 
@@ -69,15 +71,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns ``also`` of every document."""
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.col("text").alias("_text"))
+    kept = asked.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
-            fps = np.array([fingerprint(t) for t in column(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(len(kept)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps)], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return asked.mapInArrow(run, StructType([*asked.schema[: len(kept)], StructField("fp", LongType())]))
 
 
 # --- the index ---------------------------------------------------------------------------
@@ -260,12 +264,16 @@ def fingerprint_links(distinct: DataFrame, members: int = NODE_MEMBERS) -> DataF
 # --- the operator ------------------------------------------------------------------------
 
 
+def roots_of(distinct: DataFrame) -> DataFrame:
+    """fp and root (its component's least fingerprint) of every distinct fingerprint."""
+    roots = connected_components(fingerprint_links(distinct.select("fp")))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, fingerprint (hex) and component_id, one row per document."""
     fps = materialised(fingerprints(docs), "fingerprints")
-    nodes = materialised(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(fingerprint_links(nodes.select("fp")))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = roots_of(materialised(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(named, "root").select("fp", "component_id")
     out = fps.join(classes, "fp")
@@ -273,11 +281,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id; rows without an id are kept,
-    rows that repeat a kept id are dropped."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    name = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("doc_id", name)
+    """One row of each component, with its own columns: the one with the least id, null ids last.
+
+    Rows are told apart by id, text and the other columns, so rows that share an id, or have
+    none, are judged each by its own text; among rows equal in all of these any is the same row.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    key = F.struct(
+        F.col("doc_id").isNull().alias("absent"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("text"), F.md5(rest).alias("rest"),
+    )
+    name = fresh(docs, "row")
+    fps = fingerprints(docs, key.alias("row"))
+    nodes = materialised(fps.groupBy("fp").agg(F.min("row").alias("least")), "nodes")
+    kept = roots_of(nodes).groupBy("root").agg(F.min("least").alias(name)).select(name)
+    marked = docs.withColumn(f"{name}_own", key)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col(name)).select(*own).dropDuplicates(["doc_id"])
-    return found.unionByName(docs.filter(F.col("doc_id").isNull()))
+    chosen = marked.join(kept, F.col(f"{name}_own") == F.col(name), "left_semi")
+    return chosen.dropDuplicates([f"{name}_own"]).select(*own)
