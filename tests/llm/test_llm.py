@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -194,9 +195,65 @@ def test_main_text_of_several_sections():
     assert two == "\n\n".join(w.strip() for w in words)
 
 
+def test_frame_words_do_not_erase_the_text():
+    body = [f"Paragraph {k} says a good deal about its subject, at some length and without links." for k in range(10)]
+    inner, want = "".join(f"<p>{x}</p>" for x in body), "\n\n".join(body)
+    footer = "<footer>Imprint and terms</footer><div class='cookie-banner'>We use cookies</div><div class='ad'>Buy now</div>"
+    for start, end in [
+        ('<div class="content has-sidebar">', "</div>"), ('<article class="post no-sidebar">', "</article>"),
+        ('<div id="social-science">', "</div>"), ('<form action="/x" method="post">', "</form>"),
+        ('<form><div class="page-header-wrap">', "</div></form>"), ('<div class="widget"><article>', "</article></div>"),
+    ]:
+        assert html_density.main_text(f"<body><nav><a>Home</a></nav>{start}{inner}{end}{footer}</body>") == want, start
+    head = html_density.main_text(f"<header>Site</header><article><header><h1>Headline</h1></header>{inner}</article>{footer}")
+    assert head == "Headline\n\n" + want
+    comments = "".join(f"<p>Reader {k} thinks otherwise, and says so here.</p>" for k in range(20))
+    for name in ("comments", "comment-list", "sidebar", "gdpr-box"):
+        assert html_density.main_text(f"<body><div>{inner}</div><div class='{name}'>{comments}</div></body>") == want, name
+    assert html_density.main_text(f"<body><div class='comments'>{comments}</div></body>") == ""
+
+
+def test_main_text_in_time_that_does_not_grow_with_depth():
+    start = time.process_time()
+    for one in ("<div><i>x</b></p></li></td>", "<b><div><i></b>", "<table><tr><td><p></span>", "<section><li></dt>"):
+        assert html_density.main_text(one * 50_000 + "<p>the last words</p>").endswith("the last words")
+    assert time.process_time() - start < 40
+
+
+def test_main_text_by_brute_force_density():
+    rnd = random.Random(8)
+    for _ in range(200):
+        page, depth = [], 0
+        for _ in range(rnd.randint(3, 40)):
+            step = rnd.random()
+            if step < 0.4:
+                page.append(rnd.choice(["<div>", "<section>"]))
+            elif step < 0.6:
+                page.append(rnd.choice(["</div>", "</section>"]))
+            else:
+                page.append(rnd.choice(["<p>%s</p>", "%s", "<a href=x>%s</a>", "<p><b>%s</b></p>"]) % ("word " * rnd.randint(1, 30)))
+        nodes = html_density.preorder(html_density.parse("".join(page)))
+        html_density.measure(nodes)
+
+        def flat(n):
+            below = [x for c in n.parts if isinstance(c, html_density.Node) for x in flat(c)]
+            return [n, *below]
+
+        share = html_density.link_share(nodes[0])
+        for n in nodes:
+            under = flat(n)
+            text = lambda some: sum(len("".join(x.split())) for m in some for x in m.parts if isinstance(x, str))
+            links = [m for m in under if m.tag == "a"]
+            linked = {id(x): x for m in links for x in flat(m)}
+            want = html_density.density(text(under), len(under) - 1, text(linked.values()), len(links), share)
+            assert n.density == pytest.approx(want)
+            assert n.total == pytest.approx(sum(c.density for c in n.parts if isinstance(c, html_density.Node)))
+
+
 def test_main_text_keeps_null_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x</p>", 2)], "page_id bigint, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_density.main_texts(pages).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
+    assert html_density.main_texts(pages.limit(0)).count() == 0
 
 
 def test_token_files_and_counts_round_trip(odd, none, tmp_path, monkeypatch):

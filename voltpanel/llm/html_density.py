@@ -8,21 +8,30 @@ page, outside its frame, are kept too. An ``article`` or ``main`` mark around th
 tells where the text ends: only other marks are then added. Lists of links are dropped
 outside the subtree, or where it is the whole body.
 
+Tags and class words mark the page's frame before that, but words alone cannot erase a
+page: a form, a header or a node marked by its words is opened again if it holds parts of an
+article and over ``OPENED`` times the text of all that is unmarked. Class words count
+as whole tokens; a compound one (``site-footer``) is a weaker mark and one that tells of a layout
+(``has-sidebar``) is none. A header inside an article is part of it.
+
 Pages are independent, so this is one map over them; a page's tree lives only while its
 text is made.
 
 Defined results: a null or empty page and a page without text give an empty text; broken
 markup is read as browsers do (open paragraphs and list items end at the next one, unknown
 ends are ignored); repeated rows give equal rows; an empty table gives none; other columns
-are ignored. Pages of any size or depth are read whole, without recursion.
+are ignored. Pages of any size or depth are read whole, without recursion, in time that grows
+with the page and not with its depth.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import itertools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,15 +57,21 @@ INLINE = frozenset(
 )
 #: Parts of a page that are never its article.
 CHROME = frozenset(
-    "nav header footer aside form script style noscript template iframe button select option textarea input head menu "
+    "nav footer aside script style noscript template iframe button select option textarea input head menu "
     "dialog svg canvas object".split()
 )
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
-    "footer header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo "
+    "footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo "
     "related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
+#: A class word that begins so tells of the layout, not of the node.
+LAYOUT = frozenset("has no not with without is".split())
+#: Marks of the frame, from none to those that are never opened again.
+NONE, SOFT, WORD, HARD = range(4)
+#: How many times the text outside the frame a marked node must hold to be opened.
+OPENED = 4
 #: An opening tag of the first kind ends an open one of the second kind.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -70,38 +85,79 @@ SCOPES = frozenset("table td th ul ol dl div article section body html main bloc
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chrome", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "depth", "parts", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, chrome: bool = False):
-        self.tag, self.parent, self.parts, self.chrome = tag, parent, [], chrome
+    def __init__(self, tag: str, parent: Node | None, mark: int = NONE):
+        self.tag, self.parent, self.parts, self.mark = tag, parent, [], mark
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    @property
+    def chrome(self) -> bool:
+        return self.mark != NONE
+
 
-def is_chrome(tag: str, attributes: str) -> bool:
-    """A part of the page's frame, by its tag or by the words of its class, id and role."""
+def frame_mark(tag: str, attributes: str, in_article: bool) -> int:
+    """How strongly tag, class, id and role mark a part of the page's frame."""
     if tag in CHROME:
-        return True
+        return HARD
+    mark = SOFT if tag == "form" or tag == "header" and not in_article else NONE
     if not attributes or attributes.isspace():
-        return False
+        return mark
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = "".join(values).lower()
-        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(re.split(r"[\s_\-]+", value)):
-            return True
-        if name == "role" and value.strip() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name in ("class", "id"):
+            for token in value.split():
+                words = re.split(r"[_\-]+", token)
+                if token in CHROME_WORDS:
+                    mark = max(mark, WORD)
+                elif words[0] not in LAYOUT and not CHROME_WORDS.isdisjoint(words):
+                    mark = max(mark, SOFT)
+        elif name == "role" and value.strip() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return HARD
+    return mark
+
+
+class Open:
+    """The open nodes, by tag: the innermost of any tags is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.node, self.by_tag = root, defaultdict(list)
+
+    def enter(self, node: Node) -> None:
+        self.by_tag[node.tag].append(node)
+        self.node = node
+
+    def innermost(self, tags) -> Node | None:
+        found = [self.by_tag[t][-1] for t in tags if self.by_tag.get(t)]
+        return max(found, key=lambda n: n.depth, default=None)
+
+    def leave(self, last: Node) -> None:
+        """Close everything down to ``last``; each node is closed once."""
+        while True:
+            node = self.node
+            self.by_tag[node.tag].pop()
+            self.node = node.parent
+            if node is last:
+                return
+
+
+#: Ends of these do not reach beyond the innermost scope.
+SCOPED = INLINE | {"p", "li"}
+#: What an opening tag looks for: the tags that it closes, and the scopes that hide them.
+REACH = {tag: (closed, SCOPES - set(closed)) for tag, closed in ({t: ("p",) for t in ENDS_P - set(CLOSES)} | CLOSES).items()}
 
 
 def parse(page: str) -> Node:
     """The page's tree; ``parts`` of a node are its texts and children in order."""
     root = Node("html", None)
-    node, at = root, 0
+    tree, at = Open(root), 0
 
     def text(raw: str) -> None:
         if raw:
-            node.parts.append(entities.unescape(raw))
+            tree.node.parts.append(entities.unescape(raw))
 
     while True:
         found = TOKEN.search(page, at)
@@ -112,47 +168,81 @@ def parse(page: str) -> Node:
         at = found.end()
         if found[1]:
             tag = found[1].lower()
-            if tag == "p" or tag == "br":  # an end tag alone still breaks the block
-                pass
-            up = node
-            while up is not root and up.tag != tag:
-                if up.tag in SCOPES and tag in INLINE | {"p", "li"}:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            last = tree.innermost((tag,))
+            hides = tree.innermost(SCOPES) if last is not None and tag in SCOPED else None
+            if last is not None and (hides is None or hides.depth < last.depth):
+                tree.leave(last)
             continue
         if not found[2]:
             continue  # a comment, a doctype or a processing instruction
         tag, attributes = found[2].lower(), found[3] or ""
         if tag in ("html", "body"):
-            if tag == "body":
-                node = root
+            first = next((n for n in itertools.chain(*tree.by_tag.values()) if n.depth == 1), None) if tag == "body" else None
+            if first is not None:
+                tree.leave(first)
             continue
-        closed = ("p",) if tag in ENDS_P else CLOSES.get(tag, ())
-        if closed:
-            up = node
-            while up is not root and up.tag not in SCOPES - set(closed) and up.tag not in closed:
-                up = up.parent
-            if up is not root and up.tag in closed:
-                node = up.parent
+        if tag in REACH:
+            closed, scopes = REACH[tag]
+            last = tree.innermost(closed)
+            hides = tree.innermost(scopes) if last is not None else None
+            if last is not None and (hides is None or hides.depth < last.depth):
+                tree.leave(last)
+        node = tree.node
         if tag in VOID:
-            if not is_chrome(tag, ""):
-                child = Node(tag, node)
-                node.parts.append(child)
+            if tag not in CHROME:
+                node.parts.append(Node(tag, node))
             continue
-        child = Node(tag, node, is_chrome(tag, attributes))
+        in_article = bool(tree.by_tag.get("article") or tree.by_tag.get("main"))
+        child = Node(tag, node, HARD if tag in ("textarea", "title") else frame_mark(tag, attributes, in_article))
         node.parts.append(child)
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag == "textarea" or tag == "title":
-                child.chrome = True
             at = end.end() if end else len(page)
             continue
-        node = child
+        tree.enter(child)
+
+
+def settle(root: Node) -> None:
+    """Open marked nodes that hold the page's text: the largest first, while they hold over
+    ``OPENED`` times what is unmarked. A whole word's mark gives way to an article, main part or
+    headline inside only, a weaker one also to three paragraphs. Every node is visited twice."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [c for c in node.parts if isinstance(c, Node) and c.mark != HARD]
+    if all(n.mark == NONE for n in nodes):
+        return
+    held = {id(n): [sum(len(SPACE.sub("", x)) for x in n.parts if isinstance(x, str)), 0, 0] for n in nodes}
+    own = {k: v[0] for k, v in held.items()}
+    for node in reversed(nodes):
+        chars, heads, paragraphs = held[id(node)]
+        if node.parent is not None:
+            up = held[id(node.parent)]
+            up[0] += chars
+            up[1] += heads + (node.tag in ("article", "main", "h1"))
+            up[2] += paragraphs + (node.tag == "p")
+    outside, marked, stack, order = 0, [], [root], itertools.count()
+    while True:
+        while stack:
+            node = stack.pop()
+            outside += own[id(node)]
+            for child in node.parts:
+                if isinstance(child, Node) and child.mark == NONE:
+                    stack.append(child)
+                elif isinstance(child, Node) and child.mark != HARD:
+                    heapq.heappush(marked, (-held[id(child)][0], next(order), child))
+        if not marked:
+            return
+        size, _, node = heapq.heappop(marked)
+        if -size <= OPENED * outside:
+            return
+        _, heads, paragraphs = held[id(node)]
+        if heads or node.tag in ("article", "main") or node.mark == SOFT and paragraphs >= 3:
+            node.mark = NONE
+            stack.append(node)
 
 
 def preorder(root: Node) -> list[Node]:
@@ -276,7 +366,9 @@ def blocks(root: Node, best: Node, threshold: float, marked: bool) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = preorder(parse(page))
+    root = parse(page)
+    settle(root)
+    nodes = preorder(root)
     measure(nodes)
     best = max(nodes, key=lambda n: n.total if n.tag not in INLINE else -1.0)
     if not best.total:
