@@ -92,6 +92,24 @@ def test_encoder_equals_the_library(name):
             assert np.frombuffer(ids, "<u4").tolist() == encoder._whole(text), repr(text)
 
 
+def test_usual_texts_are_cut_once_and_equal_the_library(monkeypatch):
+    rnd, encoder = random.Random(5), tokenizing.TextEncoder(token_arrow.TOKENIZER, entries=200)
+    counter = tokenizing.TextCounter(token_arrow.TOKENIZER, entries=200, known={"the": len(encoder._whole(" the"))})
+    word = lambda: rnd.choice(["the", "Ñandú", "über,", "don't", "a1.", "x_", "été\nThe", ".", "3,5", "ab" * rnd.randint(1, 9), "한국", "\x01"])
+    texts = [" ".join(word() for _ in range(rnd.randint(1, 40))) + rnd.choice(["", " ", "\n", ".\n", "\n\n", " \n"]) for _ in range(600)]
+    want = [encoder._whole(t) for t in texts]
+    for at in range(0, len(texts), 100):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[at : at + 100])] == want[at : at + 100]
+        assert counter.encode(texts[at : at + 100]) == [len(x) for x in want[at : at + 100]]
+    # Each distinct word of a batch is looked up once, however often its texts repeat it.
+    asked = []
+    known = tokenizing.TextEncoder(token_arrow.TOKENIZER)
+    monkeypatch.setattr(tokenizing.TextEncoder, "_word", lambda self, word: asked.append(word) or self._plain(" " + word))
+    known.by_word = type("Counted", (dict,), {"__missing__": lambda self, word: known._word(word), "turned": lambda self, n: self})()
+    known.encode(["x " + "lorem ipsum " * 50 + "dolor"] * 8)
+    assert sorted(asked) == ["\x01x", "dolor", "ipsum", "lorem"]
+
+
 def test_packing_is_whole_and_tight(odd, none):
     rows = packing.pack(odd).collect()
     encoder = tokenizing.TextEncoder(packing.TOKENIZER)

@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 #: Documents handled at a time inside a task; bounds Python memory whatever the Arrow batch holds.
 SLICE = 64
+#: Bytes of text handled at a time where a batch of texts is cut into words at once.
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +66,23 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, size)
 
 
+def sized(batches: Iterator[pa.RecordBatch], name: str, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of a text column, a row at least, without copying."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
+        # A null or empty text counts too, as its row is held.
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """A text column with empty texts for null ones."""
+    return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltpanel.llm.common import column, slices, worker_state
+from voltpanel.llm.common import column, sized, slices, texts_of, worker_state
 from voltpanel.llm.tokenizing import TextEncoder
 from voltpanel.session import materialised, scratch_path
 
@@ -126,8 +126,8 @@ def encode_documents(docs: DataFrame, cuts: list[int], name: str, path: str | No
     def encode(batches: Iterator[pa.RecordBatch]):
         encoder = worker_state("ids16", f"{name}-{path}", lambda: TextEncoder(name, path, dtype="<u2"))
         end = np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in column(batch, "text")])]
+        for batch in sized(batches, "text"):
+            ids = [x + end for x in encoder.encode(texts_of(batch))]
             keys = column(batch, "doc_id")
             parts = [0 if k is None else bisect.bisect_right(cuts, k) for k in keys]
             yield pa.RecordBatch.from_arrays(

@@ -18,10 +18,11 @@ from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltpanel.llm.common import column, slices, worker_state
+from voltpanel.llm.common import column, sized, slices, texts_of, worker_state
 from voltpanel.llm.tokenizing import TextCounter
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,13 +68,13 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, path: str | None = None
 
     def count(batches):
         counter = _counter(name, path, key, table.value)
-        for batch in slices(batches):
-            texts = [t or "" for t in column(batch, "text")]
+        for batch in sized(batches, "text"):
+            texts = texts_of(batch)
             counts = counter.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
-                    pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
+                    pc.binary_length(texts).cast(pa.int64()),
                     pa.array(counts, pa.int64()),
                     pa.array([n > limit for n in counts], pa.bool_()),
                 ],

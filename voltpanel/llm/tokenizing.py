@@ -1,8 +1,9 @@
 """Exact ids of public tokenizers for whole texts, through a bounded cache of pre-tokens.
 
 A byte-pair tokenizer merges inside pre-tokens only, so a text's ids are the ids of its
-pre-tokens in a row. Plain texts are cut here, each distinct pre-token is encoded once by the
-tokenizers library's model and remembered. A text with any character outside well-known
+pre-tokens in a row. Plain texts are cut into words here by Arrow, each distinct word is looked
+up once in a batch of texts, and its pre-tokens are encoded by the tokenizers library's model
+and remembered. A text with any character outside well-known
 ranges, or with a marker that could be a special token, goes to the library whole.
 """
 
@@ -12,12 +13,22 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces kept per generation and cache; two generations live at a time (about 200 bytes a piece).
 CACHE_ENTRIES = 200_000
 #: Anything outside these ranges, or what could be a special token's marker, makes a text
 #: unusual. Inside them white space is blank and line end only, letters and digits are the
 #: same for Python as for the library's patterns, and composition changes nothing.
 UNUSUAL = re.compile(r"<\||[^ -~\n¡-¬®-±´-¸º»¿-įı-ɏЀ-҂Ҋ-ӿ–-…€぀-゘ァ-ヺ一-鿿가-힣]")
+#: White space beside white space, which the library groups.
+GROUPED = r"  | \n|\n\n"
+#: Stands before a word that has neither blank nor line end before it; no usual text has it.
+FIRST = "\x01"
+#: Single punctuation that ends many words; no letter, digit or white space.
+COMMON_ENDS = frozenset(".,;:!?")
 #: name -> (pattern of the pre-tokens, whether the text is lower-cased first).
 KINDS = {
     "byte_bpe_50k.json": (
@@ -80,6 +91,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path(name))
         self.letters, self.dtype, self.entries = byte_letters(), dtype, entries
         self.pattern, self.lower = KINDS[name]
+        self.own = [array(self.TYPES[dtype], [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.by_token = PieceCache(self._token)
         self.by_word = PieceCache(self._word)
 
@@ -92,30 +104,63 @@ class TextEncoder:
     def total(self, values):
         return b"".join(values)
 
+    def _model(self, spelled: str):
+        return b"".join([self.own[t.id] for t in self.tokenizer.model.tokenize(spelled)])
+
     def _token(self, pre_token: str):
         """One pre-token through the library's model."""
-        spelled = pre_token.encode("utf-8").decode("latin-1").translate(self.letters)
-        return self.value([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return self._model(pre_token.encode("utf-8").decode("latin-1").translate(self.letters))
 
     def _plain(self, text: str):
         return self.total(map(self.by_token.__getitem__, self.pattern.findall(text)))
 
     def _word(self, word: str):
-        return self._plain(word if self.lower else " " + word)
+        """A word with the blank before it; one that begins with a line end or ``FIRST`` has none."""
+        if self.lower or word[:1] == "\n":
+            return self._plain(word)
+        if word[:1] == FIRST:
+            return self._plain(word[1:])
+        if word.isalpha():  # one pre-token
+            return self._model("Ġ" + word) if word.isascii() else self._token(" " + word)
+        if word[-1:] in COMMON_ENDS and word[:-1].isalpha():
+            return self.total((self.by_word[word[:-1]], self.by_token[word[-1]]))
+        return self._plain(" " + word)
 
     def _text(self, text: str):
         if not text or UNUSUAL.search(text):
             return self.value(self._whole(text))
         if self.lower:  # white space never reaches this tokenizer
             return self.total(map(self.by_word.__getitem__, text.lower().split()))
-        if "  " in text:  # blanks beside blanks are pre-tokens of their own
-            return self._plain(text)
-        first, *words = text.split(" ")  # every later word carries its blank
-        return self.total((self._plain(first), self.total(map(self.by_word.__getitem__, words))))
-
-    def encode(self, texts: list[str]) -> list:
+        return self._plain(text)
+
+    def _runs(self, values: list, words: np.ndarray, bounds: np.ndarray) -> list:
+        """Totals of consecutive runs of words; ``words`` says which value each word has."""
+        flat = pa.array(values, pa.large_binary()).take(pa.array(words))
+        at = np.frombuffer(flat.buffers()[1], np.int64)[bounds]
+        data = memoryview(flat.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+
+    def _usual(self, texts: pa.Array) -> list:
+        """Usual texts without grouped white space: each distinct word is looked up once."""
+        # Every later word carries its blank, or the line end before it, a pre-token of its own.
+        lines = pc.replace_substring(pc.binary_join_element_wise(FIRST, texts, ""), "\n", " \n")
+        cut = pc.split_pattern(lines, " ")
+        words = cut.flatten().dictionary_encode()
+        values = list(map(self.by_word.__getitem__, words.dictionary.to_pylist()))
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))])
+        return self._runs(values, words.indices.to_numpy(zero_copy_only=False), bounds.astype(np.int64))
+
+    def encode(self, texts: list[str] | pa.Array) -> list:
         self.by_token, self.by_word = self.by_token.turned(self.entries), self.by_word.turned(self.entries)
-        return [self._text(t) for t in texts]
+        if self.lower:
+            return [self._text(t) for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, f"{GROUPED}|{UNUSUAL.pattern}|^$").to_numpy(zero_copy_only=False).astype(bool)
+        out = np.empty(len(texts), object)
+        out[odd] = [self._text(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        if not odd.all():
+            out[~odd] = self._usual(texts.filter(pa.array(~odd)))
+        return out.tolist()
 
 
 class TextCounter(TextEncoder):
@@ -129,9 +174,15 @@ class TextCounter(TextEncoder):
     def value(self, ids: list[int]) -> int:
         return len(ids)
 
+    def _model(self, spelled: str) -> int:
+        return len(self.tokenizer.model.tokenize(spelled))
+
     def total(self, values) -> int:
         return sum(values)
 
+    def _runs(self, values: list, words: np.ndarray, bounds: np.ndarray) -> list:
+        return np.add.reduceat(np.array(values, np.int64)[words], bounds[:-1]).tolist()
+
     def _either(self, word: str) -> int:
         n = self.known.get(word)
         return self._word(word) if n is None else n
