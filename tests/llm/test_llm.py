@@ -375,6 +375,27 @@ def test_seeds_lose_no_stretch_with_enough_words_in_common():
             assert got == sorted(want)
 
 
+def test_couples_that_cannot_reach_their_score_are_not_aligned(monkeypatch):
+    rnd, align = random.Random(9), decontaminate.align
+    item = [f"w{k}" for k in range(40)]
+    far = [x for k in range(24) for x in (item[k], "x", "y", "z")]  # enough words, too far from each other
+    items = decontaminate.Items([" ".join(item)], 5, 0.5)
+    monkeypatch.setattr(decontaminate, "align", lambda *couples: pytest.fail("aligned in vain"))
+    assert items.leaks([" ".join(far)]) == []
+    monkeypatch.setattr(decontaminate, "align", align)
+    # Edits around the threshold, repeated words, long texts: the bound loses no leak.
+    monkeypatch.setattr(decontaminate, "GATHER", 300)
+    for _ in range(12):
+        own = [[f"w{rnd.randint(0, 25)}" for _ in range(rnd.choice([3, 6, 13, 30]))] for _ in range(8)]
+        text = lambda: [f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 90))]
+        docs = [text() + [w for w in rnd.choice(own) for w in ([w], [], [w, "x"])[min(2, rnd.randint(0, 5))]] + text() for _ in range(30)]
+        items = decontaminate.Items([" ".join(x) for x in own], 5, 0.5)
+        got = items.leaks([" ".join(x) for x in docs])
+        with monkeypatch.context() as all_aligned:
+            all_aligned.setattr(decontaminate.Items, "reachable", lambda self, item, passage: list(range(len(item))))
+            assert got == items.leaks([" ".join(x) for x in docs]) != []
+
+
 def test_each_row_is_judged_by_itself(spark):
     rnd = random.Random(7)
     body = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(80))

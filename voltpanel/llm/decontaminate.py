@@ -13,7 +13,8 @@ item's words are ordered from rare to frequent. Of any ``need`` shared words at
 among the n - need + k rarest, so those are the item's seeds, and a stretch that holds k of
 them is a candidate: the items' frequent words, which nearly every stretch has, are never
 joined. The seeds travel to the tasks and are joined there with the stretches' words; the
-candidates' whole counts are then verified one by one, and what passes is aligned. Seeds are
+candidates' whole counts are then verified one by one, and what passes is aligned if the best
+run of its words, each one of the item's counted as a match, could reach the score. Seeds are
 single words because the score allows an edit next to every word: no longer n-gram must
 survive in a copy that still reaches it. No candidate is dropped for being frequent.
 
@@ -162,6 +163,37 @@ class Items:
     def numbers(self, text: str | None) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words(text), repeat(1)), np.int64)
 
+    def reachable(self, item: list[int], passage: list[np.ndarray]) -> list[int]:
+        """Couples that could reach their score if the order of the item's words were free.
+
+        A word of the passage adds a match at most, if it is one of the item's, and costs a
+        mismatch or a gap otherwise, so no alignment scores more than the best sum of a run.
+        """
+        order = sorted(range(len(item)), key=item.__getitem__)
+        held, out, at = np.zeros(len(self.vocabulary) + 2, bool), [], 0
+        while at < len(order):
+            some, size = [], 0
+            while at < len(order) and (not some or size + len(passage[order[at]]) < GATHER):
+                some.append(order[at])
+                size += len(passage[order[at]]) + 1
+                at += 1
+            starts = np.cumsum([0, *(len(passage[i]) + 1 for i in some)])
+            # Before each passage a place for a drop that no run can make good.
+            words = np.concatenate([x for i in some for x in ([0], passage[i])]).astype(np.int64)
+            hit, first = np.empty(len(words), bool), 0
+            for end in [*np.flatnonzero(np.diff([item[i] for i in some])) + 1, len(some)]:
+                own = self.items[item[some[first]]]
+                held[own] = True
+                hit[starts[first] : starts[end]] = held[words[starts[first] : starts[end]]]
+                held[own] = False
+                first = end
+            gain = np.where(hit, MATCH, max(MISMATCH, GAP))
+            gain[starts[:-1]] = -MATCH * int(np.diff(starts).max())
+            total = np.cumsum(gain)
+            best = np.maximum.reduceat(total - np.minimum.accumulate(total), starts[:-1])
+            out += [i for i, score in zip(some, best.tolist()) if score >= self.score[item[i]]]
+        return out
+
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, float]]:
         """(text, item, start of the best stretch, score) of every couple that reaches its score."""
         texts = [self.numbers(t) for t in texts]
@@ -170,7 +202,7 @@ class Items:
             owner, first, item = (x.tolist() for x in group.stretches(texts))
             begin = [max(0, f) for f in first]
             passage = [texts[t][a : max(0, f + 2 * group.span)] for t, a, f in zip(owner, begin, first)]
-            order = sorted(range(len(item)), key=lambda i: (len(passage[i]), len(self.items[item[i]])))
+            order = sorted(self.reachable(item, passage), key=lambda i: (len(passage[i]), len(self.items[item[i]])))
             for at in range(0, len(order), 32):
                 some = order[at : at + 32]
                 scores = align([self.items[item[i]] for i in some], [passage[i] for i in some])
